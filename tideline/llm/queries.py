@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import language_id, quality_mil, repetition_rules, toxicity_kn
+from tideline.llm import language_id, packing, quality_mil, repetition_rules, toxicity_kn, url_filter
 from tideline.llm._common import table
 
 
@@ -13,6 +13,27 @@ def _held_out(mod: int, rest: int):
     return F.crc32(F.col("id").cast("string")) % mod == rest
 
 
+#: The url rules (host, path, verdict).
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op4_url_digest_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_mil.learn(docs, table(spark, sf_dir, "labels"))
@@ -37,10 +58,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_url_digest_array": op4_url_digest_array,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op7_quality_mil": op7_quality_mil,
     "op8_toxicity_kneser_ney": op8_toxicity_kneser_ney,
     "op9_repetition_rules": op9_repetition_rules,
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_url_digest_array": """
+        WITH cut AS (
+            SELECT page_id,
+                   translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path
+            FROM pages),
+        rules(rule_host, rule_path, rule_verdict) AS (VALUES
+            ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+            ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+        fits AS (
+            SELECT page_id, host, path, rule_host || rule_path AS rule, rule_verdict,
+                   row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule_host || rule_path) DESC) AS k
+            FROM cut JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+        SELECT c.page_id, c.host, c.path, f.rule, coalesce(f.rule_verdict, 'allow') AS verdict
+        FROM cut c LEFT JOIN fits f ON f.page_id = c.page_id AND f.host = c.host AND f.path = c.path AND f.k = 1""",
+}
