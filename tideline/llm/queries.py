@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import language_id, packing, quality_mil, repetition_rules, toxicity_kn, url_filter
+from tideline.llm import language_id, packing, quality_mil, repetition_rules, simhash_neardup, toxicity_kn, url_filter
 from tideline.llm._common import table
 
 
@@ -13,6 +13,11 @@ def _held_out(mod: int, rest: int):
     return F.crc32(F.col("id").cast("string")) % mod == rest
 
 
+def op3_simhash_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_neardup.groups(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 #: The url rules (host, path, verdict).
 URL_RULES = [
     ("com", "/en/", "block"),
@@ -58,6 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_simhash_positional_index": op3_simhash_positional_index,
     "op4_url_digest_array": op4_url_digest_array,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_quality_mil": op7_quality_mil,
