@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import language_id, packing, quality_mil, repetition_rules, simhash_neardup, toxicity_kn, url_filter
+from tideline.llm import decontamination, language_id, packing, quality_mil, repetition_rules, simhash_neardup, toxicity_kn, url_filter
 from tideline.llm._common import table
 
 
@@ -13,6 +13,14 @@ def _held_out(mod: int, rest: int):
     return F.crc32(F.col("id").cast("string")) % mod == rest
 
 
+def op1_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.inspect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("matches").cast("long").alias("n_items"),
+        F.sha2(F.array_join("matches.item_id", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op3_simhash_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_neardup.groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -63,6 +71,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array_decontamination": op1_suffix_array_decontamination,
     "op3_simhash_positional_index": op3_simhash_positional_index,
     "op4_url_digest_array": op4_url_digest_array,
     "op5_best_fit_packing": op5_best_fit_packing,
