@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontamination, language_id, packing, quality_mil, repetition_rules, simhash_neardup, toxicity_kn, url_filter
+from tideline.llm import decontamination, language_id, line_dedup, packing, quality_mil, repetition_rules, simhash_neardup, toxicity_kn, url_filter
 from tideline.llm._common import table
 
 
@@ -21,6 +21,11 @@ def op1_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     )
 
 
+def op2_simhash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_simhash_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_neardup.groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -72,6 +77,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_array_decontamination": op1_suffix_array_decontamination,
+    "op2_simhash_line_dedup": op2_simhash_line_dedup,
     "op3_simhash_positional_index": op3_simhash_positional_index,
     "op4_url_digest_array": op4_url_digest_array,
     "op5_best_fit_packing": op5_best_fit_packing,
