@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontamination, language_id, line_dedup, packing, quality_mil, repetition_rules, simhash_neardup, toxicity_kn, url_filter
+from tideline.llm import decontamination, language_id, line_dedup, packing, quality_mil, repetition_rules, simhash_neardup, suffix_dedup, toxicity_kn, url_filter
 from tideline.llm._common import table
 
 
@@ -52,6 +52,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_columnwise_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_mil.learn(docs, table(spark, sf_dir, "labels"))
@@ -81,6 +86,7 @@ QUERIES = {
     "op3_simhash_positional_index": op3_simhash_positional_index,
     "op4_url_digest_array": op4_url_digest_array,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_columnwise_suffix_dedup": op6_columnwise_suffix_dedup,
     "op7_quality_mil": op7_quality_mil,
     "op8_toxicity_kneser_ney": op8_toxicity_kneser_ney,
     "op9_repetition_rules": op9_repetition_rules,
