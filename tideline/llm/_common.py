@@ -46,11 +46,18 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def place(names: list[str], name: str) -> int:
+    """Where a column stands: the first of that very name, else the first that differs in case only."""
+    if name in names:
+        return names.index(name)
+    return [n.lower() for n in names].index(name.lower())
+
+
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the wanted columns (new name = source name), by position: other columns may repeat or clash in case."""
     names = df.columns
     plain = df.toDF(*[f"c{i}" for i in range(len(names))])
-    return plain.select(*[F.col(f"c{names.index(source)}").alias(new) for new, source in wanted.items()])
+    return plain.select(*[F.col(f"c{place(names, source)}").alias(new) for new, source in wanted.items()])
 
 
 def filter_batches(df: DataFrame, keep) -> DataFrame:

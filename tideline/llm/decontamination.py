@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _bytes as B
-from tideline.llm._common import filter_batches, pick
+from tideline.llm._common import filter_batches, pick, place
 
 
 class Block:
@@ -237,7 +237,7 @@ def keep(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
 
     def clean(batch, names):
         out = np.ones(batch.num_rows, bool)
-        for i, _, shard, hit, _ in _search_all(shared, batch.column(names.index(text_col))):
+        for i, _, shard, hit, _ in _search_all(shared, batch.column(place(names, text_col))):
             out[i + np.unique(shard.doc[hit])] = False
         return pa.array(out)
 

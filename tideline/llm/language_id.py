@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _bytes as B
-from tideline.llm._common import filter_batches, labelled_sample, pick
+from tideline.llm._common import filter_batches, labelled_sample, pick, place
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[97:123] = _LETTERS[128:] = True
@@ -164,6 +164,6 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batch, names):
-        return pa.array(~classify(shared.value, batch.column(names.index(text_col)))[2])
+        return pa.array(~classify(shared.value, batch.column(place(names, text_col)))[2])
 
     return filter_batches(docs, keep)

@@ -27,7 +27,7 @@ def op2_simhash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash_neardup.groups(table(spark, sf_dir, "documents"))
+    found = simhash_neardup.groups(table(spark, sf_dir, "documents"), shingle=3)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _bytes as B
-from tideline.llm._common import discard, pick, save
+from tideline.llm._common import discard, pick, place, save
 from tideline.llm.components import connected_components
 
 BITS = 3
@@ -61,7 +61,7 @@ def simhash(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
     return (bits.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """id and fp (the 64 bits as a signed long) of every row."""
     data = pick(docs, id=id_col, text=text_col)
 
@@ -157,7 +157,7 @@ def _columns(table: pa.Table) -> dict:
     return {"k": k, "p": p, "q": q, "fp": np.ascontiguousarray(fp), "rep": table.column(4).combine_chunks()}
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """id, fp and component (the smallest id it reaches by links) of every row."""
     prints = save(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     different = save(prints.groupBy("fp").agg(F.min("id").alias("rep")), "different")
@@ -176,4 +176,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = found.where(F.col("id") != F.col("component")).select(F.col("id").alias("gone")).distinct()
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    return plain.join(gone, plain[f"c{names.index(id_col)}"] == gone["gone"], "left_anti").toDF(*names)
+    return plain.join(gone, plain[f"c{place(names, id_col)}"] == gone["gone"], "left_anti").toDF(*names)
