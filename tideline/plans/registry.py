@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tideline.plans import relational
+from tideline.plans import corpus_queries, relational
 
-QUERIES = {**relational.QUERIES}
-ORACLES = {**relational.ORACLES}
+_MODULES = (relational, corpus_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
