@@ -280,3 +280,40 @@ ORACLES = {
         ("p1", "public.orders", "keep"), ("p1", "sales.items", "add"), ("p1", "public.items", "add"), ("p2", "public.users", "keep"), ("p3", "public.events", "create"),
     ]),
 }
+
+
+def catalog_fk_join_paths(spark, sf_dir):
+    """What joins to orders (o) and to lineitem (l) by a foreign key, composite keys included."""
+    from tideline.plans import catalog
+
+    bound = spark.createDataFrame([("public", "orders", "o"), ("public", "lineitem", "l")], "schema string, table_name string, qualifier string")
+    return catalog.join_paths(catalog.edges_table(spark, catalog.star_catalog()), bound).select("schema", "table_name", "on_expr")
+
+
+def completion_ranking(spark, sf_dir):
+    """The first candidates for some texts, in order."""
+    from tideline.plans import catalog, completion
+
+    engine = completion.Engine(catalog.star_catalog())
+    texts = {"c1": "SELECT o.o_ord FROM orders o", "c2": "SELECT * FROM orders o JOIN ", "c3": "SELECT * FROM customer WHERE c_a", "c4": "SELECT * FROM nat"}
+    cursors = {"c1": 14}
+    rows = []
+    for name, sql in texts.items():
+        got = engine.complete(completion.Request(sql, cursors.get(name, len(sql)), max_candidates=3))
+        rows += [(name, got.clause, k + 1, c.kind, c.insert_text, c.score) for k, c in enumerate(got.candidates)]
+    return spark.createDataFrame(rows, "text_id string, clause string, pos int, kind string, insert_text string, score double")
+
+
+QUERIES |= {f.__name__: f for f in (catalog_fk_join_paths, completion_ranking)}
+ORACLES |= {
+    "catalog_fk_join_paths": _values("schema:VARCHAR, table_name:VARCHAR, on_expr:VARCHAR", [
+        ("public", "customer", "o.o_custkey = customer.c_custkey"), ("public", "part", "l.l_partkey = part.p_partkey"), ("public", "supplier", "l.l_suppkey = supplier.s_suppkey"),
+        ("sales", "returns", "returns.l_orderkey = l.l_orderkey AND returns.l_linenumber = l.l_linenumber"),
+    ]),
+    "completion_ranking": _values("text_id:VARCHAR, clause:VARCHAR, pos:INTEGER, kind:VARCHAR, insert_text:VARCHAR, score:DOUBLE", [
+        ("c1", "select", 1, "column", "o.o_orderdate", "100"), ("c1", "select", 2, "column", "o.o_orderkey", "100"), ("c1", "select", 3, "column", "o.o_orderpriority", "100"),
+        ("c2", "join", 1, "join", "customer ON o.o_custkey = customer.c_custkey", "70"), ("c2", "join", 2, "join", "lineitem ON lineitem.l_orderkey = o.o_orderkey", "70"), ("c2", "join", 3, "table", "customer", "50"),
+        ("c3", "where", 1, "column", "customer.c_acctbal", "105"),
+        ("c4", "from", 1, "table", "nation", "100"),
+    ]),
+}
