@@ -66,7 +66,8 @@ class _Reader(DataSourceStreamReader):
             keep = [partition.after < parse_lsn(x) <= partition.upto for x in batch.column(0).to_pylist()]
             some = batch.filter(pa.array(keep))
             if some.num_rows:
-                yield some
+                at = names.index("commit_time")  # Spark's own files may hold nanoseconds
+                yield some.set_column(at, "commit_time", some.column(at).cast(pa.timestamp("us", "UTC")))
 
     def commit(self, end: dict) -> None:
         """Nothing to tell the log: its files stay."""
