@@ -28,6 +28,7 @@ empty table gives an empty table. Other columns are not read.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import tempfile
@@ -45,8 +46,8 @@ SHORT = 20
 LONGER = 38
 HOT = 256
 UNIT_BYTES = 4 << 20
-BUCKET_SPANS = 1_000_000
-COLLECTION_BYTES = 1 << 20
+BUCKET_SPANS = 250_000
+COLLECTION_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -110,6 +111,27 @@ def spans(buf: np.ndarray, offsets: np.ndarray, length: int, k: int):
     return start, count, low[start]
 
 
+def _order(key: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """The order by all three; the last two are looked at only where the key repeats."""
+    order = np.argsort(key)
+    k = key[order]
+    same = np.zeros(len(k) + 1, bool)
+    same[1:-1] = k[1:] == k[:-1]
+    again = np.flatnonzero(same[1:] | same[:-1])
+    some = order[again]
+    order[again] = some[np.lexsort((third[some], second[some], key[some]))]
+    return order
+
+
+def _release() -> None:
+    """Give memory that a group no longer needs back to the system, so that an executor's workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 class Unit:
     """The spans of a unit's documents: row, place, minimiser, own hash; and the different (minimiser, hash) pairs."""
 
@@ -129,7 +151,7 @@ class Unit:
         cat = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
         self.row, self.start, self.count, key, own = cat(rows, np.int64), cat(starts, np.int64), cat(counts, np.int64), cat(keys, _U), cat(own, _U)
         self.id = ids[self.row]
-        order = np.lexsort((self.id, own, key))
+        order = _order(key, own, self.id)
         key, own = key[order], own[order]
         head = np.ones(len(key), bool)
         head[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
@@ -157,7 +179,7 @@ def judge_bucket(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list
     has the span; 2 this unit's smallest document is the span's, and other spans of its minimiser come from other
     documents; 3 as 2, and there are over HOT of them; 0 nothing to do."""
     key, own, least = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    order = np.lexsort((least, own, key))
+    order = _order(key, own, least)
     k, o, d = key[order], own[order], least[order]
     head = np.ones(len(k), bool)
     head[1:] = k[1:] != k[:-1]
@@ -178,72 +200,86 @@ def judge_bucket(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list
 class Collection:
     """Burrows-Wheeler transform and common prefixes of some strings, built a symbol of each string a round.
 
-    Between rounds the columns (symbol before the suffix, common prefix with the suffix before, string, length) are
-    files in `folder`; a round reads them once from front to back and writes the next ones.
+    Between rounds the suffixes seen so far lie in order in one file of `folder`, 8 bytes each: the symbol before the
+    suffix (8 bits, 0 for none), its common prefix with the suffix before it (11), its length (11) and its string (32).
+    A round reads the file once from front to back, merges every string's next longer suffix in, and writes the next.
+    Strings are UTF-8 (no byte 255) of fewer than 2,048 bytes.
     """
 
-    COLUMNS = (("symbol", np.int16), ("common", np.int16), ("string", np.int32), ("size", np.int16))
-
     def __init__(self, data: np.ndarray, bounds: np.ndarray, folder: str):
         self.data, self.bounds, self.folder, self.round = data, bounds, Path(folder), 0
         m = len(bounds) - 1
         self.m, self.sizes = m, np.diff(bounds)
+        if m and self.sizes.max() >= 2048:
+            raise ValueError("a string of a collection has 2,047 bytes at most")
         self.at = np.arange(m)  # place of each string's longest suffix so far
-        self._write({"symbol": self._symbol(np.arange(m), 1), "common": np.zeros(m), "string": np.arange(m), "size": np.zeros(m)})
+        self.files = [open(self.folder / f"suffixes.{k}", "w+b", buffering=0) for k in (0, 1)]
+        self.room, self.next_room = np.empty(m + len(data), _U), np.empty(m + len(data), _U)
+        self._write(self._pack(self._symbol(np.arange(m), 1), 0, 0, np.arange(m)))
+
+    @staticmethod
+    def _pack(symbol, common, size, string) -> np.ndarray:
+        return symbol.astype(_U) | _U(common << 8) | _U(size << 19) | string.astype(_U) << _U(30)
 
     def _symbol(self, strings: np.ndarray, n: int) -> np.ndarray:
         """The n-th symbol from the end, from 1; 0 if there is none."""
         there = self.sizes[strings] >= n
-        return np.where(there, self.data[np.where(there, self.bounds[strings + 1] - n, 0)].astype(np.int16) + 1, 0)
-
-    def _write(self, columns: dict) -> None:
-        for name, kind in self.COLUMNS:
-            columns[name].astype(kind).tofile(self.folder / f"{name}.{self.round % 2}")
-
-    def _read(self) -> dict:
-        return {name: np.fromfile(self.folder / f"{name}.{self.round % 2}", kind) for name, kind in self.COLUMNS}
+        return np.where(there, self.data[np.where(there, self.bounds[strings + 1] - n, 0)].astype(np.int64) + 1, 0)
+
+    def _write(self, rows: np.ndarray) -> None:
+        file, data = self.files[self.round % 2], memoryview(rows).cast("B") if len(rows) else b""
+        file.seek(0)
+        while data:
+            data = data[file.write(data) :]
+        self.n = len(rows)
+
+    def _read(self) -> np.ndarray:
+        file, rows = self.files[self.round % 2], self.room[: self.n]
+        data = memoryview(rows).cast("B") if self.n else b""
+        file.seek(0)
+        while data:
+            data = data[file.readinto(data) :]
+        return rows
 
     def insert(self) -> None:
         """One round: every string's next symbol."""
         old, m = self._read(), self.m
-        live = np.flatnonzero(self.sizes > self.round)
-        symbol = old["symbol"]
+        symbol = old.astype(np.uint8)
         # suffixes that begin with a symbol stand in the order of the suffixes they continue
-        order = np.argsort(symbol.astype(np.uint8) if symbol.max(initial=0) < 256 else symbol, kind="stable")
-        order = order[np.searchsorted(symbol[order], 1) :]
+        order = np.argsort(symbol, kind="stable")[len(symbol) - np.count_nonzero(symbol) :]
         new_at = np.zeros(len(symbol), bool)
-        new_at[self.at[live]] = True
-        fresh = new_at[order]
-        total = m + len(order)
-        is_new = np.zeros(total, bool)
-        is_new[m:] = fresh
-        columns = {name: np.zeros(total, kind) for name, kind in self.COLUMNS}
-        for name, _ in self.COLUMNS:
-            columns[name][~is_new] = old[name]
-        who = old["string"][order[fresh]]
-        columns["string"][is_new], columns["size"][is_new] = who, self.round + 1
-        columns["symbol"][is_new] = self._symbol(who, self.round + 2)
+        new_at[self.at[self.sizes > self.round]] = True
+        fresh = np.flatnonzero(new_at[order])
+        who = (old[order[fresh]] >> _U(30)).astype(np.int64)
+        rows = self.next_room[: m + len(order)]
+        is_old = np.ones(len(rows), bool)
+        is_old[m + fresh] = False
+        rows[is_old] = old
+        rows[m + fresh] = self._pack(self._symbol(who, self.round + 2), 0, self.round + 1, who)
         # a common prefix is one more than the least between the two continued suffixes
-        touched = fresh.copy()
-        touched[1:] |= fresh[:-1]
-        k = np.flatnonzero(touched)
-        same = np.zeros(len(k), bool)
-        same[k > 0] = symbol[order[k[k > 0]]] == symbol[order[k[k > 0] - 1]]
-        common = np.zeros(len(k), np.int64)
+        touched = np.zeros(len(order) + 1, bool)
+        touched[fresh] = touched[fresh + 1] = True
+        k = np.flatnonzero(touched[:-1])
+        second = order[k]
+        first = order[np.maximum(k - 1, 0)]
+        same = (k > 0) & (symbol[second] == symbol[first])
+        common = np.zeros(len(k), _U)
         if same.any():
-            a, b = order[k[same] - 1] + 1, order[k[same]] + 1
-            padded = np.append(old["common"], np.int16(0))
-            common[same] = np.minimum.reduceat(padded, np.column_stack((a, b)).reshape(-1))[::2] + 1
-        columns["common"][m + k] = common
-        place = np.flatnonzero(is_new)
-        self.at[who] = place
+            before = np.append((old >> _U(8)).astype(np.uint16) & np.uint16(2047), np.uint16(0))
+            common[same] = np.minimum.reduceat(before, np.column_stack((first[same] + 1, second[same] + 1)).reshape(-1))[::2] + 1
+        rows[m + k] = (rows[m + k] & ~_U(2047 << 8)) | common << _U(8)
+        self.at[who] = m + fresh
         self.round += 1
-        self._write(columns)
+        self._write(rows)
 
     def build(self) -> dict:
+        """All rounds; the suffixes' strings, lengths and common prefixes, in order."""
         for _ in range(int(self.sizes.max(initial=0))):
             self.insert()
-        return self._read()
+        rows = self._read()
+        for file in self.files:
+            file.close()
+        return {"string": (rows >> _U(30)).astype(np.int64), "size": (rows >> _U(19)).astype(np.int64) & 2047, "common": (rows >> _U(8)).astype(np.int64) & 2047}
 
 
 def repeated(data: np.ndarray, bounds: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +291,7 @@ def repeated(data: np.ndarray, bounds: np.ndarray, ids: np.ndarray, length: int)
     own = ids[done["string"]]
     least = np.minimum.reduceat(own, np.flatnonzero(head)) if len(own) else own
     marked = np.flatnonzero((done["size"] >= length) & (own > least[run]))
-    string = done["string"][marked].astype(np.int64)
+    string = done["string"][marked]
     return string, (bounds[string + 1] - bounds[string]) - done["size"][marked]
 
 
@@ -361,11 +397,16 @@ def ranges(docs: DataFrame, length: int = 50) -> DataFrame:
         cut = unit.buckets(buckets)
         some = np.flatnonzero(np.diff(cut))
         packed = [[_planes(x[cut[b] : cut[b + 1]]) for b in some] for x in (unit.key, unit.own, unit.least)]
+        del unit
+        _release()
         return pa.table({"unit": pa.array([key[0].as_py()] * len(some), pa.int64()), "bucket": pa.array(some, pa.int64()), **{n: pa.array(x, pa.binary()) for n, x in zip(("keys", "own", "least"), packed)}})
 
     def judge(key, rows):
         parts = [tuple(_unplanes(rows.column(n)[k].as_py(), t) for n, t in (("keys", _U), ("own", _U), ("least", np.int64))) for k in range(rows.num_rows)]
-        return pa.table({"unit": rows.column("unit"), "bucket": rows.column("bucket"), "code": pa.array([c.tobytes() for c in judge_bucket(parts)], pa.binary())})
+        codes = judge_bucket(parts)
+        del parts
+        _release()
+        return pa.table({"unit": rows.column("unit"), "bucket": rows.column("bucket"), "code": pa.array([c.tobytes() for c in codes], pa.binary())})
 
     sent = dealt.select("unit", "id", "text").groupBy("unit").applyInArrow(send, "unit long, bucket long, keys binary, own binary, least binary")
     answers = save(sent.groupBy("bucket").applyInArrow(judge, "unit long, bucket long, code binary"), "answers")
@@ -376,7 +417,10 @@ def ranges(docs: DataFrame, length: int = 50) -> DataFrame:
         unit = Unit(rows.column("id").to_numpy(), rows.column("text").combine_chunks(), length)
         answers = answers.sort_by("bucket")
         code = np.frombuffer(b"".join(answers.column("code").to_pylist()), np.uint8)
-        return _settle(unit, rows.column("version").to_numpy(), code)
+        out = _settle(unit, rows.column("version").to_numpy(), code)
+        del unit, code
+        _release()
+        return out
 
     found = save(dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(settle, _FOUND), "found")
     _give_back(spark)
@@ -404,6 +448,7 @@ def ranges(docs: DataFrame, length: int = 50) -> DataFrame:
                 _, s, e = _merged(np.zeros(len(start), np.int64), start, start + length)
                 packed.append(np.column_stack((s, e)).astype("<i8").tobytes())
             out.append(pa.table({"id": part.column("id").take(pa.array(rows_of)), "version": part.column("version").take(pa.array(rows_of)), "ranges": pa.array(packed, pa.binary())}))
+        _release()
         return pa.concat_tables(out)
 
     more = open_.groupBy(F.pmod(F.xxhash64("key"), F.lit(collections)).alias("collection")).applyInArrow(compare, "id long, version long, ranges binary")
