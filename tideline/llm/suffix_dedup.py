@@ -32,6 +32,7 @@ import ctypes
 import gc
 import hashlib
 import tempfile
+import time
 from pathlib import Path
 
 import numpy as np
@@ -320,9 +321,12 @@ def candidates(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, k: int, l
 
 
 def _give_back(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of plans that are no longer referred to. The first round frees what Python held
+    in the JVM, the second what that held; the cleaner works beside, so it gets a moment."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray):
