@@ -77,7 +77,8 @@ def gram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
 
 
 def spans(buf: np.ndarray, offsets: np.ndarray, length: int, k: int):
-    """Spans of every text: first string's start, number of strings, and the minimiser's hash."""
+    """Spans of every text: first string's start, number of strings, and the minimiser's hash, mixed anew: as the least
+    of several it is small, and by its leading bits most spans would fall into the first buckets."""
     w = length - k + 1
     low = gram_hashes(buf, k)
     if len(buf) < length:
@@ -109,7 +110,7 @@ def spans(buf: np.ndarray, offsets: np.ndarray, length: int, k: int):
         at = B.ranges(np.zeros(len(count), np.int64), pieces) * w
         count = np.minimum(w, np.repeat(count, pieces) - at)
         start = np.repeat(start, pieces) + at
-    return start, count, low[start]
+    return start, count, B.mix(low[start])
 
 
 def _order(key: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
@@ -305,7 +306,7 @@ def candidates(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, k: int, l
         return keep
     hashed = gram_hashes(data, k)
     string = np.repeat(np.arange(len(keys)), np.diff(bounds))[: len(hashed)]
-    at = np.flatnonzero(hashed == keys[string])
+    at = np.flatnonzero(B.mix(hashed) == keys[string])
     s = string[at]
     at, s = (x[at + k <= bounds[s + 1]] for x in (at, s))
     left, right = at - half >= bounds[s], at + k + half <= bounds[s + 1]
