@@ -134,6 +134,25 @@ def test_edit_similarity(spark):
         assert row["s"] == (plain.levenshtein(row["x"], row["y"]) <= int(round(max(len(row["x"]), len(row["y"])) * 0.2, 6))), row
 
 
+@pytest.mark.parametrize("least, most, changes", [(8, 12, 1), (21, 40, 1), (81, 160, 1), (100, 160, 12)])
+def test_line_dedup_finds_edited_lines(spark, least, most, changes):
+    """Lines with words replaced, by brute-force edit similarity: all but a few per cent are found, whatever the length."""
+    r = random.Random(least)
+    known = ["".join(r.choice("abcdefghijkl") for _ in range(r.randint(2, 8))) for _ in range(2000)]
+    pairs = []
+    while len(pairs) < 120:
+        w = [r.choice(known) for _ in range(r.randint(least, most))]
+        v = list(w)
+        for k in r.sample(range(len(w)), changes):
+            v[k] = r.choice(known)
+        x, y = " ".join(w), " ".join(v)
+        if x != y and plain.levenshtein(x, y) <= int(round(max(len(x), len(y)) * 0.2, 6)):
+            pairs.append((x, y))
+    out = line_dedup.deduplicate(spark.createDataFrame([(2 * k + j, line) for k, p in enumerate(pairs) for j, line in enumerate(p)], DOCS))
+    removed = {x["doc_id"] for x in out.where("n_removed > 0").collect()}
+    assert removed <= {2 * k + 1 for k in range(len(pairs))} and len(removed) >= 0.97 * len(pairs)
+
+
 def test_line_dedup_is_native(spark):
     plan = line_dedup.different_lines(spark.createDataFrame([(1, "a\nb")], "id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
