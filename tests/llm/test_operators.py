@@ -153,6 +153,19 @@ def test_line_dedup_finds_edited_lines(spark, least, most, changes):
     assert removed <= {2 * k + 1 for k in range(len(pairs))} and len(removed) >= 0.97 * len(pairs)
 
 
+def test_line_dedup_of_long_lines(spark):
+    """Lines over 4,000 characters: the same words in another order differ; 15 % of the words changed are still alike."""
+    r = random.Random(4)
+    known = ["".join(r.choice("abcdefghijkl") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    w = [r.choice(known) for _ in range(900)]
+    turned, changed = r.sample(w, len(w)), [r.choice(known) if k % 7 == 3 else x for k, x in enumerate(w)]
+    x, y, z = (" ".join(v) for v in (w, turned, changed))
+    allowed = int(round(max(len(x), len(z)) * 0.2, 6))
+    assert min(len(x), len(y), len(z)) > 4000 and plain.levenshtein(x, z) <= allowed < plain.levenshtein(x, y)
+    out = line_dedup.deduplicate(spark.createDataFrame([(1, x), (2, y), (3, z)], DOCS))
+    assert {v["doc_id"]: v["n_removed"] for v in out.collect()} == {1: 0, 2: 0, 3: 1}
+
+
 def test_line_dedup_is_native(spark):
     plan = line_dedup.different_lines(spark.createDataFrame([(1, "a\nb")], "id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
