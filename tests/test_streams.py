@@ -144,3 +144,20 @@ def test_rolling_metrics_ignore_old_events(spark):
     rows = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ '2024-01-01 00:00:00', true, 100L, 'a'), (TIMESTAMP_NTZ '2024-01-01 00:09:00', true, 300L, 'a'), (TIMESTAMP_NTZ '2024-01-01 00:09:30', false, 500L, 'b') t(ts, cache_hit, response_us, strategy)")
     got = routing.rolling_metrics(rows, F.lit("2024-01-01 00:10:00").cast("timestamp_ntz")).first()
     assert (got["n"], got["mean_us"], got["recent_hit_rate"]) == (2, 400.0, 0.0)
+
+
+def test_change_log_holds_every_order(spark, tmp_path):
+    """Keys past 10,000, past what a phase of 100,000 positions holds, and past 32 bits of log position."""
+    from tideline.plans import intelligence_queries as Q
+
+    keys = [1, 2, 3, 5, 7, 35, 9_999, 10_000, 10_005, 10_010, 10_011, 1_000_005, 1_000_020, 2_000_021, 3_000_035, 70_000_000_021, 70_000_000_035, 70_000_000_041]
+    for most in (1_000_000, 10_000_000, 1 << 40):
+        some, folder = [k for k in keys if k < most], f"{tmp_path}/{most}"
+        spark.createDataFrame([(k, "O", k + 0.25) for k in some], "o_orderkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{folder}/orders.parquet")
+        want = {k: ("N" if k % 35 == 0 else "U" if k % 3 == 0 else "O", None if k % 5 == 0 else k + 0.25) for k in some if k % 7 or k % 35 == 0}
+        for query in (Q.cdc_apply_final_state, Q.cdc_stream_final_state):
+            assert {r["id"]: (r["status"], r["price"]) for r in query(spark, folder).collect()} == want
+        batches = Q.cdc_tx_batches(spark, folder).collect()
+        assert sum(r["changes"] for r in batches) == sum(1 + sum(k % n == 0 for n in (3, 5, 7, 35)) for k in some)
+        assert len(batches) == len({(k // 10, 0) for k in some} | {(k // 10, n) for k in some for n in (3, 5, 7, 35) if k % n == 0})
+        assert sum(r["changes"] for r in Q.cdc_backpressure_drop(spark, folder).collect()) == sum(min(2, r["changes"]) for r in batches)

@@ -134,21 +134,28 @@ def route_strategy_stats(spark, sf_dir):
 
 
 # change streams
+def _phase(spark: SparkSession, sf_dir: str) -> int:
+    """How far apart in the log its kinds of change begin: 100,000, or as many times that as the largest key needs."""
+    most = read(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] or 0
+    return 100_000 * (most // 10 // 100_000 + 1)
+
+
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log made of orders by arithmetic: each order is inserted; every third is updated (status only), every fifth
     updated again (price to null), every seventh deleted, every 35th inserted anew. Ten orders a transaction."""
-    o = read(spark, sf_dir, "orders").where("o_orderkey < 10000")
-    key, hexed = F.col("o_orderkey"), lambda n: F.concat(F.lit("0/"), F.hex(n))
+    o = read(spark, sf_dir, "orders")
+    key, step = F.col("o_orderkey"), _phase(spark, sf_dir)
+    hexed = lambda n: F.concat(F.hex(F.shiftright(n, 32)), F.lit("/"), F.hex(n.bitwiseAND(F.lit(0xFFFFFFFF))))
     kinds = [
         (F.lit(True), 0, "insert", F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(18,2)").alias("price")))),
-        (key % 3 == 0, 100000, "update", F.to_json(F.struct(F.lit("U").alias("status")))),
-        (key % 5 == 0, 200000, "update", F.lit('{"price":null}')),
-        (key % 7 == 0, 300000, "delete", F.lit(None).cast("string")),
-        (key % 35 == 0, 400000, "insert", F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.lit("N").alias("status")))),
+        (key % 3 == 0, step, "update", F.to_json(F.struct(F.lit("U").alias("status")))),
+        (key % 5 == 0, 2 * step, "update", F.lit('{"price":null}')),
+        (key % 7 == 0, 3 * step, "delete", F.lit(None).cast("string")),
+        (key % 35 == 0, 4 * step, "insert", F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.lit("N").alias("status")))),
     ]
     parts = [
         o.where(cond).select(
-            hexed(F.floor(key / 10) + base + 1).alias("commit_lsn"), (key % 10).cast("int").alias("seq"), F.lit("public.orders").alias("table_name"), F.lit(kind).alias("operation"),
+            hexed(F.expr("o_orderkey div 10") + F.lit(base + 1).cast("long")).alias("commit_lsn"), (key % 10).cast("int").alias("seq"), F.lit("public.orders").alias("table_name"), F.lit(kind).alias("operation"),
             F.lit("2024-01-01 00:00:00").cast("timestamp").alias("commit_time"), F.to_json(F.struct(key.alias("id"))).alias("keys"), F.lit(None).cast("string").alias("old"), new.alias("new"),
         )
         for cond, base, kind, new in kinds
@@ -180,8 +187,8 @@ def cdc_stream_final_state(spark, sf_dir):
     from tideline.streaming.local import shared_folder
 
     root = shared_folder(spark, "stream")
-    log, lsn = change_log(spark, sf_dir), cdc.lsn_number(F.col("commit_lsn"))
-    for low, high in ((0, 150000), (150000, 250000), (250000, 1 << 40)):  # files come in the order of commits
+    log, lsn, step = change_log(spark, sf_dir), cdc.lsn_number(F.col("commit_lsn")), _phase(spark, sf_dir)
+    for low, high in ((0, step * 3 // 2), (step * 3 // 2, step * 5 // 2), (step * 5 // 2, 5 * step + 1)):  # files come in the order of commits
         log.where((lsn >= low) & (lsn < high)).coalesce(1).write.mode("append").parquet(f"{root}/log")
     source = spark.readStream.schema(cdc.CHANGES).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
     applier = cdc.TableApplier(spark, f"{root}/state", "id", STATE)
