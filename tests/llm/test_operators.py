@@ -478,3 +478,15 @@ def test_lookup_is_exact():
 def test_column_names_that_differ_in_case(spark):
     df = spark.createDataFrame([(1, "a b", "c")], "DOC_ID long, Text string, other string")
     assert language_id.identify(df, None).count() == 1
+
+
+def test_following_counts_each_word_of_the_corpus_once(spark):
+    texts = prose(31, 60, vocabulary=50) + ["Été naïve ÉTÉ", "", None, "A a AB"]
+    want = np.zeros((256, 256))
+    for word in {w for t in texts for w in plain.words(t)}:
+        b = b"\0" + word.encode() + b"\0"
+        for x, y in zip(b, b[1:]):
+            want[x, y] += 1
+    for parts in (1, 7):
+        docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 2)], DOCS).repartition(parts)
+        assert (toxicity_kn.following(docs) == want).all()
