@@ -212,6 +212,31 @@ def test_simhash_of_null_ids_and_keep_first(spark):
     assert simhash_neardup.groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_keep_first_by_similarity(spark):
+    """Groups by brute-force Jaccard of five-word shingles; near copies, many bits apart, go."""
+    r = random.Random(8)
+    texts = prose(17, 30, most=200)
+    docs = [(i, t) for i, t in enumerate(texts)]
+    for i, t in enumerate(texts):
+        w = t.split(" ")
+        for k in range(3):
+            v = list(w)
+            for _ in range(k + 1 + len(w) // 60):
+                v[r.randrange(len(v))] = "other"
+            docs.append((100 * (k + 1) + i, " ".join(v)))
+    docs += [(900, texts[0].upper()), (901, None), (902, ""), (903, "a b"), (904, "A  b")]
+    sets = {i: {" ".join(w[k : k + 5]) for w in [plain.SPACED.findall((t or "").translate(plain.LOW))] for k in range(max(len(w) - 4, min(len(w), 1)))} for i, t in docs}
+    like = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    ids = sorted(sets)
+    edges = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if like(sets[a], sets[b])]
+    group = plain.components(ids, edges)
+    prints = {i: plain.simhash(t, 5) for i, t in docs}
+    assert sum((prints[a] ^ prints[b]).bit_count() > 3 for a, b in edges) > 10
+    kept = simhash_neardup.keep_first(table(spark, [*docs, (None, texts[0])]), similarity=0.8)
+    assert sorted((x["doc_id"] for x in kept.collect()), key=str) == sorted([*set(group.values()), None], key=str)
+    assert simhash_neardup.keep_first(spark.createDataFrame([], DOCS), similarity=0.8).count() == 0
+
+
 def test_long_chains_and_stars(spark):
     chain = [(k, k + 1) for k in range(300)]
     star = [(1000, 1001 + k) for k in range(500)]

@@ -9,6 +9,10 @@ with 5 matches or more are kept and verified bit by bit. Equal fingerprints are
 A list of more than `BLOCK` entries is dealt into blocks, and each pair of blocks is a task's work of its own, so no
 list, however hot, lands in one task. Of a list's links only those that connect something new are passed on.
 
+With a similarity given, `keep_first` links by the Jaccard similarity of the shingles instead, which few bits of SimHash
+don't reach (0.8 is about 10 of 64): two sets of that similarity share one of the n - ceil(similarity * n) + 1 smallest
+hashes of each, so a posting under each of those finds every such pair; pairs are verified on the whole sets.
+
 Cases: null and empty texts, and texts without a word, have the fingerprint zero and are linked like any others. A null
 id has a fingerprint, no links of its own, and its fingerprint's component if another row has it, else null. Rows that
 repeat an id count as one document. An empty table gives an empty table. Other columns are not read.
@@ -16,6 +20,8 @@ repeat an id count as one document. An empty table gives an empty table. Other c
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,8 +38,8 @@ BLOCK = 1024
 SEED = 42
 
 
-def simhash(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
-    """Fingerprint of each text: bit k is 1 if over half of the hashes of its shingles, repeats included, have it."""
+def shingles(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' shingles, repeats included, and how many each text has."""
     low = B.LOWER[buf]
     starts, ends = B.words(low, offsets, B.NOT_SPACE)
     bounds = np.searchsorted(starts, offsets)
@@ -47,6 +53,13 @@ def simhash(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
     last = np.minimum(first + shingle, np.repeat(bounds[1:], count)) - 1
     view, digest = memoryview(tight), xxhash.xxh64_intdigest
     h = np.fromiter((digest(view[a:b], SEED) for a, b in zip(at[first].tolist(), (at[last] + lengths[last]).tolist())), np.uint64, len(first))
+    return h, count
+
+
+def simhash(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
+    """Fingerprint of each text: bit k is 1 if over half of the hashes of its shingles, repeats included, have it."""
+    h, count = shingles(buf, offsets, shingle)
+    n = count
     # sums of 4 bits at a time in fields of 16 bits, over at most 60,000 shingles
     doc = np.repeat(np.arange(len(n)), count)
     begin = np.concatenate(([0], np.cumsum(count)))
@@ -169,10 +182,61 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     return out
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+def _sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
+    """The sorted different shingle hashes of each text."""
+    buf, offsets = B.texts(column)
+    out = []
+    for i, j in B.chunks(offsets, 1 << 21):
+        h, count = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
+        out += [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])]
+    return out
+
+
+def alike(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """id and component (the smallest id it reaches) of each row with an id, linked by the shingles' Jaccard similarity."""
+    data = pick(docs, id=id_col, text=text_col).where("id is not null")
+    kind = data.schema["id"].dataType.simpleString()
+
+    def mark(batches):
+        for batch in batches:
+            sets = _sets(batch.column(1), shingle)
+            whole = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            first = [x[: len(x) - math.ceil(round(similarity * len(x), 9)) + 1].view(np.int64) for x in sets]
+            keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in first]))), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), keys], ["id", "whole", "n", "keys"])
+
+    marked = save(data.mapInArrow(mark, f"id {kind}, whole binary, n long, keys array<long>"), "marked")
+    reps = marked.groupBy("whole").agg(F.min("id").alias("id"))
+    posted = marked.join(reps, ["whole", "id"], "left_semi").select("id", "n", F.explode("keys").alias("key"))
+    sides = [posted.select("key", F.col("id").alias(x), F.col("n").alias(f"{x}_n")) for x in "ab"]
+    least = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - 1e-6
+    pairs = save(sides[0].join(sides[1], "key").where((F.col("a") < F.col("b")) & least).select("a", "b").distinct(), "pairs")
+    some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = save(data.join(some, "id", "left_semi").distinct(), "texts")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+
+    def verify(batches):
+        for batch in batches:
+            sets = [_sets(batch.column(c), shingle) for c in (2, 3)]
+            common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets)]
+            good = [c >= similarity * (len(x) + len(y) - c) - 1e-9 for c, x, y in zip(common, *sets)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    links = both.select("a", "b", "x", "y").repartition("a", "b").mapInArrow(verify, f"a {kind}, b {kind}")
+    # rows of one set are linked to its smallest id
+    equal = marked.join(reps.select("whole", F.col("id").alias("rep")), "whole").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    edges = save(links.unionByName(equal).distinct(), "links")
+    joined = connected_components(edges)
+    out = marked.select("id").join(joined, marked["id"] == joined["node"], "left").select("id", F.coalesce("component", "id").alias("component"))
+    for df in (pairs, texts, edges):
+        discard(df)
+    return out
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float | None = None) -> DataFrame:
     """docs with one document of each group, that with the smallest id; all columns as they were. Rows that repeat the
-    kept id stay, as do rows with a null id."""
-    found = groups(docs, id_col, text_col, shingle)
+    kept id stay, as do rows with a null id. Groups are those of the fingerprints, or of the shingles' similarity."""
+    found = alike(docs, id_col, text_col, shingle, similarity) if similarity else groups(docs, id_col, text_col, shingle)
     gone = found.where(F.col("id") != F.col("component")).select(F.col("id").alias("gone")).distinct()
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
