@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import plain
-from tideline.llm import _bytes, components, decontamination, language_id, line_dedup, packing, quality_mil, repetition_rules, simhash_neardup, suffix_dedup, toxicity_kn, url_filter
+from tideline.llm import _bytes, _common, components, decontamination, language_id, line_dedup, packing, quality_mil, repetition_rules, simhash_neardup, suffix_dedup, toxicity_kn, url_filter
 from tideline.llm import queries as Q
 
 DOCS = "doc_id long, text string"
@@ -515,3 +515,10 @@ def test_following_counts_each_word_of_the_corpus_once(spark):
     for parts in (1, 7):
         docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 2)], DOCS).repartition(parts)
         assert (toxicity_kn.following(docs) == want).all()
+
+
+def test_labelled_sample_takes_every_label(spark):
+    rows = [(k, f"text {k}", f"l{k % 1100:04}") for k in range(3300)]
+    got = _common.labelled_sample(spark.createDataFrame(rows, "id long, text string, label string").repartition(5), 2, 1 << 20, "label")
+    assert len(got) == 2200 and {r["label"] for r in got} == {f"l{k:04}" for k in range(1100)}
+    assert sorted(map(tuple, got)) == sorted(map(tuple, _common.labelled_sample(spark.createDataFrame(rows[::-1], "id long, text string, label string"), 2, 1 << 20, "label")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -80,14 +80,12 @@ def labelled_sample(docs: DataFrame, rows: int, max_bytes: int, strata: str) ->
     """A bounded, deterministic sample (id, text, label): up to `rows` rows of each label, `max_bytes` of text in all.
 
     docs has id, text and label (nulls in any are passed over). Rows are taken in the order of a hash of their id,
-    each label in turn. Only ids and lengths are ranked; texts are read for the chosen ids alone.
+    in all labels there are. Only ids and lengths are ranked; texts are read for the chosen ids alone.
     """
     known = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col(strata).isNotNull())
     sized = known.select("id", strata, F.octet_length("text").alias("n"), F.xxhash64("id").alias("h"))
-    labels = sorted(r[0] for r in known.select(strata).distinct().limit(1000).collect())
-    chosen = []
-    for label in labels:
-        chosen += sized.where(F.col(strata) == F.lit(label)).orderBy("h", "id").limit(rows).collect()
+    rank = F.row_number().over(Window.partitionBy(strata).orderBy("h", "id"))
+    chosen = sized.withColumn("rank", rank).where(F.col("rank") <= rows).collect()  # at most rows x labels ids and lengths
     chosen.sort(key=lambda r: (r["h"], r["id"]))
     total, ids = 0, {}
     for r in chosen:

@@ -122,8 +122,8 @@ def fit(rows: list, buckets: int = 1 << 15, width: int = 16, epochs: int = 4, ra
     return model
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_mod: int = 5, rows_per_language: int = 500, languages: int = 200, max_bytes: int = 24 << 20) -> Model | None:
-    """Fit on at most `rows_per_language` rows of each language and `max_bytes` of text, from rows whose
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_mod: int = 5, rows_per_language: int = 500, max_bytes: int = 24 << 20) -> Model | None:
+    """Fit on at most `rows_per_language` rows of each language there is and `max_bytes` of text, from rows whose
     crc32(id as text) mod held_out_mod is not 0. The bounds make the sample as large for any corpus."""
     known = pick(docs, id=id_col, text=text_col, label=lang_col).where(F.crc32(F.col("id").cast("string")) % held_out_mod != 0)
     return fit([(r["text"], r["label"]) for r in labelled_sample(known, rows_per_language, max_bytes, "label")])
