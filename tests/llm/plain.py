@@ -113,10 +113,19 @@ def repetition(text, min_words=8):
 
 
 def levenshtein(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        new = [i + 1]
-        for j, y in enumerate(b):
-            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
-        row = new
-    return row[-1]
+    """Bit-parallel over whole numbers: bit i of up and down says how row i differs from the row above it."""
+    if not a or not b:
+        return len(a) + len(b)
+    at = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    every, top, distance = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = every, 0
+    for c in b:
+        same = at.get(c, 0)
+        level = ((same & up) + up ^ up) | same
+        right, left = (down | every & ~(level | up)) & every, up & level
+        distance += bool(right & top) - bool(left & top)
+        right, left = (right << 1 | 1) & every, left << 1 & every
+        up, down = (left | every & ~(same | down | right)) & every, right & (same | down)
+    return distance

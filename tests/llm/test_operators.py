@@ -90,14 +90,14 @@ def test_line_dedup(spark):
         different = set(u.split(" "))
         assert fp == sum(1 << b for b in range(64) if 2 * sum(hashes[w] >> b & 1 for w in different) > len(different))
 
+    keys = {x["norm"]: set(x["sketch"]) for x in lines.join(line_dedup.sketches(lines), "lid").collect()}
+    radius = lambda k: line_dedup.BITS["runs" if k < 0 else "words" if k < 1 << 62 else "chars"]
+
     def alike(a, b):
-        if (prints[a] ^ prints[b]).bit_count() > line_dedup.BITS:
-            return False
-        longer, x, y = max(len(a), len(b)), set(a.split(" ")), set(b.split(" "))
-        allowed = int(round(longer * (1 - line_dedup.SIMILARITY), 6))
-        if abs(len(a) - len(b)) > allowed:
+        allowed = int(round(max(len(a), len(b)) * (1 - line_dedup.SIMILARITY), 6))
+        if abs(len(a) - len(b)) > allowed or not any((prints[a] ^ prints[b]).bit_count() <= radius(k) for k in keys[a] & keys[b]):
             return False
-        return len(x & y) >= line_dedup.SIMILARITY * len(x | y) if longer > line_dedup.LONG else plain.levenshtein(a, b) <= allowed
+        return plain.levenshtein(a, b) <= allowed
 
     names = sorted(prints)
     edges = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if alike(a, b)]
@@ -175,17 +175,40 @@ def test_line_dedup_of_an_empty_table(spark):
     assert line_dedup.deduplicate(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_lines_of_one_list_that_hubs_do_not_connect(spark):
-    """Lines within 3 bits of each other but not of the list's ends are found by the second step."""
-    base = 0x0123456789ABCDEF
-    prints = [(0, base), (1, base ^ 0b111111), (2, base ^ 0b110111), (3, base ^ 0b10111 << 20), (4, base ^ 0b111111 << 20)]
-    df = spark.createDataFrame(prints, "lid long, fp long")
-    counted = line_dedup._postings(df).groupBy("key").agg(F.count("*").alias("n"), F.min("lid").alias("a"), F.max("lid").alias("b"), F.bit_xor("fp").alias("x")).where("n > 1")
-    hubs = line_dedup.hub_pairs(df, counted)
-    both = hubs.unionByName(line_dedup.other_pairs(df, counted, components.connected_components(hubs)))
-    want = [(a, b) for a, x in prints for b, y in prints if a < b and (x ^ y).bit_count() <= 3]
-    group = plain.components(range(5), want)
-    assert plain.components(range(5), [tuple(r) for r in both.collect()]) == group and set(map(tuple, both.collect())) <= set(want)
+def test_lines_of_one_list_that_hubs_do_not_connect(spark, monkeypatch):
+    """Lines that are near each other but not near the list's ends are found by the second step."""
+    prints = [(0, 0), (1, (1 << 30) - 1), (2, (1 << 29) - 1), (3, ((1 << 30) - 1) << 30), (4, ((1 << 20) - 1) << 43)]
+    df = spark.createDataFrame([(i, fp, 100, [-7]) for i, fp in prints], "lid long, fp long, length int, sketch array<long>")
+    want = [(a, b) for a, x in prints for b, y in prints if a < b and (x ^ y).bit_count() <= line_dedup.BITS["runs"]]
+    assert want == [(1, 2), (3, 4)]
+    for block in (512, 2):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        lists = line_dedup.key_lists(df)
+        hubs = line_dedup.hub_pairs(df, lists)
+        both = hubs.unionByName(line_dedup.other_pairs(df, lists, components.connected_components(hubs)))
+        assert sorted(map(tuple, both.collect())) == want
+
+
+@pytest.mark.parametrize("least, most", [(2, 6), (40, 90)])
+def test_line_dedup_finds_lines_without_spaces(spark, least, most):
+    """Lines of one long word with some letters changed."""
+    r = random.Random(least)
+    pairs = []
+    for _ in range(60):
+        x = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(r.randint(10 * least, 10 * most)))
+        k = r.randrange(len(x))
+        pairs.append((x, x[:k] + "abc"[: 1 + len(x) // 40] + x[k + 1 :]))
+    out = line_dedup.deduplicate(spark.createDataFrame([(2 * k + j, line) for k, p in enumerate(pairs) for j, line in enumerate(p)], DOCS))
+    removed = {x["doc_id"] for x in out.where("n_removed > 0").collect()}
+    assert removed <= {2 * k + 1 for k in range(60)} and len(removed) >= 57
+
+
+def test_two_groups_of_many_lines_keep_their_first(spark):
+    """One group holds most lines; its first line stays, in the document with the smallest id."""
+    line = " ".join(prose(41, 1, most=60)[0].split() + [f"word{k}" for k in range(20)])
+    rows = [(1000 - k, "\n".join([f"{line} {k % 7}", "another line altogether", line])) for k in range(300)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(spark.createDataFrame(rows, DOCS).repartition(5)).collect()}
+    assert got[701] == f"{line} {299 % 7}\nanother line altogether" and {v for k, v in got.items() if k != 701} == {""}
 
 
 # 3
