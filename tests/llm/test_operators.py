@@ -473,9 +473,94 @@ def test_toxicity(spark):
     assert toxicity_kn.score(spark.createDataFrame([], DOCS), model).count() == 0
 
 
-def test_backoff_counts_cover_all_documents(spark):
-    counts = toxicity_kn.following(spark.createDataFrame([(1, "ab ab ac"), (2, "ab é"), (3, None)], DOCS).coalesce(1))
-    assert counts[ord("a"), ord("b")] == 1 and counts[0, ord("a")] == 2 and counts[ord("c"), 0] == 1 and counts[0, 0xC3] == 1
+def _plain_contexts(texts):
+    """{word: classes of the words before it}"""
+    out = {}
+    for t in texts:
+        before = None
+        for word in plain.words(t):
+            b = np.frombuffer(word.encode(), np.uint8)
+            h = _bytes.hashes(b, np.array([0]), np.array([len(b)]))
+            out.setdefault(word.encode(), set()).add(63 if before is None else int(_bytes.mix(before)[0] % np.uint64(63)))
+            before = h
+    return out
+
+
+def test_contexts_count_each_word_of_the_corpus_once(spark):
+    texts = prose(31, 60, vocabulary=50) + ["Été naïve ÉTÉ", "", None, "A a AB"]
+    want = {k: sum(1 << c for c in v) for k, v in _plain_contexts(texts).items()}
+    for parts in (1, 7):
+        docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 2)], DOCS).repartition(parts)
+        assert {bytes(r["word"]): r["seen"] % 2**64 for r in toxicity_kn.contexts(docs).collect()} == want
+
+
+def _lookup(texts):
+    """Shared counts from plain contexts."""
+    import pyarrow as pa
+
+    seen = {k: len(v) for k, v in _plain_contexts(texts).items()}
+
+    def of(words):
+        stems = sorted({w[: toxicity_kn.STEM] for w in words.to_pylist()})
+        sums = [sum(n for w, n in seen.items() if w[: toxicity_kn.STEM] == s) for s in stems]
+        return toxicity_kn.Shared(words, np.array([seen[w] for w in words.to_pylist()]), pa.array(stems, pa.binary()), np.array(sums), float(sum(seen.values())))
+
+    return of
+
+
+@pytest.mark.parametrize("discount", [0.75, 3.0])
+def test_kneser_ney_against_plain_counts(monkeypatch, discount):
+    """Probabilities equal a plain model's over dicts and sum to 1 over the words after every context."""
+    monkeypatch.setattr(toxicity_kn, "DISCOUNT", discount)
+    texts = prose(32, 40, vocabulary=25, most=40)
+    y = np.array([k % 3 == 0 for k in range(40)]).astype(int)
+    of = _lookup(texts)
+    c = toxicity_kn.Counts(texts, y)
+    model = toxicity_kn.Model(c, of(c.spelled))
+    merged = toxicity_kn.Counts.merged([toxicity_kn.Counts(texts[k::2], y[k::2]) for k in (0, 1)])
+    seen = {k: len(v) for k, v in _plain_contexts(texts).items()}
+    vocabulary, total, stem = sorted(seen), sum(seen.values()), lambda w: w[: toxicity_kn.STEM]
+    runs = [set(), set()]
+    for t, v in zip(texts, y):
+        w = [None, None, *(x.encode() for x in plain.words(t))]
+        runs[1 - v] |= set(zip(w, w[1:], w[2:]))
+    pairs = [{} for _ in runs]
+    for k, own in enumerate(runs):
+        for _, a, b in own:
+            pairs[k][a, b] = pairs[k].get((a, b), 0) + 1
+    words = [{w: len({a for a, b in p if b == w}) for w in vocabulary} for p in pairs]
+    stems = [{s: sum(n for w, n in own.items() if stem(w) == s) for s in {stem(w) for w in vocabulary}} for own in words]
+
+    def mixed(counts, lower):
+        """counts: of each class {item: n}; lower: of each class {item: p}"""
+        free = sum(min(n, discount) for c in counts for n in c.values()) / max(1, sum(n for c in counts for n in c.values()))
+        out = []
+        for k in (0, 1):
+            left = {x: max(n - discount, 0) for x, n in counts[k].items()}
+            out.append({x: (1 - free) * left.get(x, 0) / sum(left.values()) + free * p for x, p in lower[k].items()} if sum(left.values()) else dict(lower[k]))
+        return out
+
+    share = {s: sum(seen[w] for w in vocabulary if stem(w) == s) / total for s in stems[0]}
+    p_stem = mixed(stems, [share, share])
+    p_word = mixed(words, [{w: p_stem[k][stem(w)] * seen[w] / total / share[stem(w)] for w in vocabulary} for k in (0, 1)])
+    for a in {a for p in pairs for a, _ in p}:
+        after = mixed([{b: n for (x, b), n in p.items() if x == a} for p in pairs], p_word)
+        assert all(abs(sum(p.values()) - 1) < 1e-9 for p in after)
+        for m in (model, toxicity_kn.Model(merged, of(merged.spelled))):
+            for b in vocabulary:
+                if a is not None:
+                    w = toxicity_kn.Words(np.frombuffer(a + b" " + b, np.uint8), np.array([0, len(a) + 1 + len(b)]))
+                    assert abs(m.gains(w)[1] - np.log(after[0][b] / after[1][b])) < 1e-5
+
+
+def test_toxicity_does_not_depend_on_partitions(spark):
+    texts = prose(33, 200, vocabulary=300)
+    docs, labels = labelled(spark, lambda i, bad: texts[i] + (f" nasty{i % 5}" if bad else ""), 200)
+    scores = []
+    for parts in (1, 16):
+        df = spark.createDataFrame(docs, DOCS).repartition(parts)
+        scores.append({r["id"]: r["score"] for r in toxicity_kn.score(df, toxicity_kn.learn(df, labels)).collect()})
+    assert all(abs(scores[0][k] - scores[1][k]) < 1e-9 for k in scores[0])
 
 
 def test_language(spark):
@@ -528,18 +613,6 @@ def test_column_names_that_differ_in_case(spark):
     assert language_id.identify(df, None).count() == 1
 
 
-def test_following_counts_each_word_of_the_corpus_once(spark):
-    texts = prose(31, 60, vocabulary=50) + ["Été naïve ÉTÉ", "", None, "A a AB"]
-    want = np.zeros((256, 256))
-    for word in {w for t in texts for w in plain.words(t)}:
-        b = b"\0" + word.encode() + b"\0"
-        for x, y in zip(b, b[1:]):
-            want[x, y] += 1
-    for parts in (1, 7):
-        docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 2)], DOCS).repartition(parts)
-        assert (toxicity_kn.following(docs) == want).all()
-
-
 def test_labelled_sample_takes_every_label(spark):
     rows = [(k, f"text {k}", f"l{k % 1100:04}") for k in range(3300)]
     got = _common.labelled_sample(spark.createDataFrame(rows, "id long, text string, label string").repartition(5), 2, 1 << 20, "label")

@@ -10,7 +10,8 @@ from tideline.llm._common import table
 
 
 def _held_out(mod: int, rest: int):
-    return F.crc32(F.col("id").cast("string")) % mod == rest
+    """Whether a row is one that learning leaves out; a row without an id, which nothing learns from, is not."""
+    return F.coalesce(F.crc32(F.col("id").cast("string")) % mod == rest, F.lit(False))
 
 
 def op1_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
