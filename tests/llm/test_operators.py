@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,8 +321,6 @@ def test_tokens_are_the_tokenizers(spark):
     alphabet = "abcXYZ''''''  \n\tstmdrevel0123!.,<|>é ÉÈñß¿«½ªµ \u0085\x1cǅİΑΣς漢字́ŸŠ"
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(3000)]
     texts += ["it's we'll they're I'd'x 's't ''s !'s 'then a'b", "<|endoftext|> a", "", "'", "a'", "'\n's", *(chr(c) + x for c in range(1, 0x300) for x in ("", "a", "1 "))]
-    import pyarrow as pa
-
     ids, bounds = mine(*_bytes.texts(pa.array(texts, pa.string())))
     for k, t in enumerate(texts):
         assert ids[bounds[k] : bounds[k + 1]].tolist() == theirs.encode(t, add_special_tokens=False).ids, t
@@ -496,8 +495,6 @@ def test_contexts_count_each_word_of_the_corpus_once(spark):
 
 def _lookup(texts):
     """Shared counts from plain contexts."""
-    import pyarrow as pa
-
     seen = {k: len(v) for k, v in _plain_contexts(texts).items()}
 
     def of(words):
@@ -598,6 +595,97 @@ def test_repetition(spark):
     assert repetition_rules.judge(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_repetition_verdict(spark):
+    """The covered fraction and the longest repeat decide, each by itself."""
+    r = random.Random(21)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    a, b, c = fresh(40), fresh(101), fresh(100)
+    docs = [(1, " ".join(fresh(100) + a + fresh(200) + a)), (2, " ".join(a + fresh(60) + a)), (3, " ".join(b + fresh(900) + b)), (4, " ".join(c + fresh(900) + c)), (5, " ".join(fresh(60)))]
+    got = {x["id"]: x for x in repetition_rules.judge(spark.createDataFrame(docs, DOCS)).collect()}
+    for i, t in docs:
+        want = plain.repetition(t)
+        bad = want["n_covered"] > 0.3 * want["n_words"] or want["longest_repeat"] > 100
+        assert got[i]["repetition_failed"] == bad and got[i]["kept"] == (not bad and not got[i]["base_failed"])
+    assert [got[k]["kept"] for k in range(1, 6)] == [True, False, False, True, True]
+
+
+@pytest.mark.parametrize("kept", [1 << 21, 10])
+def test_long_repetitive_texts(monkeypatch, kept):
+    """Repetitive texts, with the ranks kept and with prefixes followed, against known counts."""
+    monkeypatch.setattr(repetition_rules, "KEPT", kept)
+    n = 60_000
+    texts = ["a b " * (n // 2), "x " * 500, " ".join(f"u{k}" for k in range(3000)) + " u1 u2 u3"]
+    buf, offsets = _bytes.texts(pa.array(texts, pa.string()))
+    got = repetition_rules.measure(buf, offsets, 8)
+    assert got["longest_repeat"].tolist() == [n - 2, 499, 3] and got["n_covered"].tolist() == [n, 500, 0] and got["n_repeat_words"].tolist() == [n, 500, 6]
+
+
+def thue_morse(n, a, b):
+    """Two texts of n letters, each the other with its letters exchanged: equal under any polynomial hash modulo 2 ** 64."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def few_hashes(monkeypatch):
+    """Hashes of 3 bits: nearly all words collide."""
+    real = _bytes.hashes
+    monkeypatch.setattr(_bytes, "hashes", lambda *args: real(*args) & np.uint64(7))
+
+
+def test_numbers_tell_all_spans_apart(monkeypatch):
+    r = random.Random(3)
+    for stubbed in (False, True):
+        if stubbed:
+            few_hashes(monkeypatch)
+        words = ["".join(r.choice("ab") for _ in range(r.randint(1, 5))) for _ in range(300)] + list(thue_morse(2048, "a", "b")) * 2
+        buf = np.frombuffer(" ".join(words).encode(), np.uint8)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        starts = ends - [len(w) for w in words]
+        number, first = _bytes.numbers(buf, starts, ends)
+        assert len(set(zip(words, number.tolist()))) == len(set(words)) == len(set(number.tolist()))
+        assert all(words[first[n]] == w for w, n in zip(words, number.tolist()))
+
+
+@pytest.mark.parametrize("stubbed", [False, True])
+def test_strings_whose_hashes_collide(spark, monkeypatch, stubbed):
+    """Words and lines that share a hash are told apart by op1, op5 and op9."""
+    if stubbed:
+        few_hashes(monkeypatch)
+    x, y = thue_morse(2048, "a", "b")
+    texts = [f"{x}\n{y}", x, y, "some words and some words", f"{x} one {y}", *prose(51, 12, vocabulary=40, most=30)]
+    buf, offsets = _bytes.texts(pa.array(texts, pa.string()))
+    got = repetition_rules.measure(buf, offsets, 8)
+    for k, t in enumerate(texts):
+        want = plain.repetition(t)
+        assert {name: int(got[name][k]) for name in want} == want
+    bench = [(k, t) for k, t in enumerate([x, y, f"{x} one", *texts[5:9]])]
+    block = decontamination.Block([str(k) for k, _ in bench], [t for _, t in bench], 3)
+    shard = decontamination.Shard(buf, offsets)
+    hit, rows = shard.find(block)
+    want = list(plain.decontaminated(list(enumerate(texts)), bench, 3))
+    sums = np.concatenate(([0], np.cumsum(hit)))
+    assert [int(sums[b] - sums[a]) for a, b in zip(shard.bounds, shard.bounds[1:])] == [w[2] for w in want]
+    assert [len({i for d, i, *_ in rows.tolist() if d == k}) for k in range(len(texts))] == [w[3] for w in want]
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    theirs = Tokenizer.from_file(path)
+    ids, bounds = packing.Tokens(path)(buf, offsets)
+    for k, t in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == theirs.encode(t, add_special_tokens=False).ids
+
+
+def test_other_tokenizer_files_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "t.json"))
+    ids, bounds = packing.Tokens(str(tmp_path / "t.json"))(*_bytes.texts(pa.array(["a b", "", "B a", None], pa.string())))
+    assert ids.tolist() == [0, 1, 2, 0] and bounds.tolist() == [0, 2, 2, 4, 4]
+
+
 # helpers
 def test_lookup_is_exact():
     r = np.random.default_rng(0)

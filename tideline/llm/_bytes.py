@@ -91,6 +91,41 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+def numbers(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, equal for just those whose bytes are equal, and for each number a span that has it.
+
+    Hashes sort the spans; the bytes of all that share a hash are compared, and those that differ are told apart by them."""
+    keys, first, which = np.unique(hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    again = np.flatnonzero(first[which] != np.arange(len(which)))
+    lengths = ends - starts
+    wrong = again[lengths[again] != lengths[first[which[again]]]]
+    again = again[lengths[again] == lengths[first[which[again]]]]
+    at = np.concatenate(([0], np.cumsum(lengths[again])))
+    i = 0
+    while i < len(again):  # some MB at a time; a longer span by itself
+        j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 22), "right")) - 1)
+        own = again[i:j]
+        if j == i + 1:
+            k, rep = own[0], first[which[own[0]]]
+            bad = own if not np.array_equal(buf[starts[k] : ends[k]], buf[starts[rep] : ends[rep]]) else own[:0]
+        else:
+            unlike = buf[ranges(starts[own], lengths[own])] != buf[ranges(starts[first[which[own]]], lengths[own])]
+            bad = own[np.unique(np.searchsorted(at[i : j + 1] - at[i], np.flatnonzero(unlike), "right") - 1)] if unlike.any() else own[:0]
+        wrong = np.concatenate((wrong, bad))
+        i = j
+    if len(wrong):
+        fresh: dict[bytes, int] = {}
+        extra = []
+        for k in np.sort(wrong).tolist():
+            data = buf[starts[k] : ends[k]].tobytes()
+            if data not in fresh:
+                fresh[data] = len(keys) + len(fresh)
+                extra.append(k)
+            which[k] = fresh[data]
+        first = np.concatenate((first, np.array(extra, first.dtype)))
+    return which, first
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All numbers of [start, start + length) for each pair, one after another."""
     total = int(lengths.sum())

@@ -7,14 +7,17 @@ once, a word deeper each round: the interval of a suffix at the depth of its win
 occurs in the shard, and the depth at which the interval runs empty is the longest verbatim match.
 
 A window is `window` consecutive words of an item, or all words of a shorter item. Word numbers come from 64-bit hashes;
-the bytes of every hit are compared, and a hash that stood for another word is taken out and the shard searched again.
+words of the benchmark that share one are told apart by their bytes, and the bytes of every hit are compared: a hash that
+stood for another word is taken out and the shard searched again.
 
 The benchmark is read in blocks of at most `block_words` words. Each block is broadcast by itself and a task holds one
 at a time, so benchmarks of any size take bounded memory.
 
 Cases: null, empty and wordless documents have no words and stay; items without a word match nothing; a null item_id
 counts as the empty string; repeated items count once. Rows that repeat a doc_id are judged one by one. An empty
-benchmark hits nothing, an empty table gives an empty table. Other columns are not read (or kept as they are, by keep).
+benchmark hits nothing, an empty table gives an empty table. Other columns are not read (or kept as they are, by keep). A
+very long text is a shard by itself, searched whole, at some 60 bytes a word. Of an item's equally long matches the one that
+begins first in the document is given, and of those the one first in the item.
 """
 
 from __future__ import annotations
@@ -37,10 +40,16 @@ class Block:
         starts, ends = B.words(low, offsets, B.ALNUM)
         bounds = np.searchsorted(starts, offsets)
         n = np.diff(bounds)
-        self.hashes, first, which = np.unique(B.hashes(low, starts, ends), return_index=True, return_inverse=True)
+        which, first = B.numbers(low, starts, ends)
         self.spelled = [low[starts[k] : ends[k]].tobytes() for k in first]
-        self.known = B.Lookup(self.hashes, np.arange(1, len(self.hashes) + 1, dtype=np.int64))
         self.words = which + 1  # number of each word of all items; 0 is any other word
+        hashed = np.empty(len(first), np.uint64)
+        by_start = np.argsort(first)
+        hashed[by_start] = B.hashes(low, starts[first[by_start]], ends[first[by_start]])
+        self.hashes, one, count = np.unique(hashed, return_index=True, return_counts=True)
+        self.known = B.Lookup(self.hashes, one + 1)
+        twins = np.isin(hashed, self.hashes[count > 1])  # words whose hash another word has too
+        self.twin_hashes, self.twins = self.hashes[count > 1], {self.spelled[k]: int(k) + 1 for k in np.flatnonzero(twins)}
         self.bounds, self.ids = bounds, ids
         self.item = np.repeat(np.arange(len(ids)), n)
         size = np.repeat(np.minimum(n, window), n)
@@ -131,6 +140,9 @@ class Shard:
         if not len(block.words) or not len(self.starts):
             return nothing
         number = block.known(self.hashes, 0)
+        if block.twins:
+            for k in np.flatnonzero(np.isin(self.hashes, block.twin_hashes)):
+                number[k] = block.twins.get(self.low[self.starts[k] : self.ends[k]].tobytes(), 0)
         while True:
             seq = np.zeros(len(number) + n_docs, np.int64)
             where = np.arange(len(number)) + self.doc  # a 0 between documents

@@ -13,11 +13,14 @@ Tokens: the tokenizer is applied to words, each different word once; a text with
 Python might disagree, or with a special token's mark, goes through the tokenizer as a whole.
 
 Cases: null text is empty; an empty text is one piece of the end token. Rows that repeat a doc_id are packed one by one,
-each as a document of its own. An empty table gives an empty table. Other columns are not read.
+each as a document of its own. An empty table gives an empty table. Other columns are not read. A very long text is
+tokenised whole, at some 60 bytes a byte. Ties: of pieces of one length and of equally full sequences either may go first;
+which one does follows the partitions, and how many sequences there are doesn't depend on it.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -29,6 +32,15 @@ from pyspark.sql import functions as F
 from tideline.llm import _bytes as B
 from tideline.llm._common import pick, save
 
+#: The normaliser and the splitting of the tokenizer files whose words are cut here.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _SPACE, _LETTER, _DIGIT, _OTHER, _UNSAFE = range(5)
 _tables: dict = {}
 
@@ -59,7 +71,10 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        suffix, vocabulary = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab()
+        # words are cut here only as this kind of file cuts them; any other kind encodes whole texts
+        parts = json.loads(self.tokenizer.to_str())
+        self.by_words = (parts["normalizer"], parts["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER) and all(t["content"].startswith("<|") for t in parts["added_tokens"])
+        suffix, vocabulary = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.closes[[v for k, v in vocabulary.items() if suffix and k.endswith(suffix)]] = True
         self.forget()
@@ -69,6 +84,9 @@ class Tokens:
 
     def __call__(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin."""
+        if not self.by_words:
+            pieces = [np.array(self.tokenizer.encode(buf[a:b].tobytes().decode(), add_special_tokens=False).ids, np.uint32) for a, b in zip(offsets, offsets[1:])]
+            return np.concatenate([np.zeros(0, np.uint32), *pieces]), np.cumsum([0, *map(len, pieces)])
         kind_of, lower_of = _char_tables()
         low = B.LOWER[buf]
         kind = kind_of[:256][buf]
@@ -105,22 +123,22 @@ class Tokens:
             starts, ends = self._join(low, starts, ends, k)
         if len(lone) >= 1000:
             starts, ends = self._join_many(low, starts, ends, lone)
-        hashed = B.hashes(low, starts, ends)
-        keys, where, which = np.unique(hashed, return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > self.LIMIT:
+        which, where = B.numbers(low, starts, ends)
+        if len(self.known) + len(where) > self.LIMIT:
             self.forget()
-        place = [self.known.get(h, -1) for h in keys.tolist()]
+        data = low.tobytes()
+        spelled = [data[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
+        place = [self.known.get(x, -1) for x in spelled]
         new = [k for k, p in enumerate(place) if p < 0]
         if new:
-            data = low.tobytes()
-            names = [data[starts[where[k]] : ends[where[k]]].decode("utf-8", "replace") for k in new]
+            names = [spelled[k].decode("utf-8", "replace") for k in new]
             ids = np.array(self.tokenizer.encode(" ".join(names), add_special_tokens=False).ids, np.uint32)
             stops = np.flatnonzero(self.closes[ids]) + 1
             if len(stops) != len(names):  # a piece without an end of its own: one by one
                 one = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in names]
                 ids, stops = np.array([v for x in one for v in x], np.uint32), np.cumsum([len(x) for x in one])
             for n, k in enumerate(new):
-                place[k] = self.known[int(keys[k])] = len(self.at) - 1 + n
+                place[k] = self.known[spelled[k]] = len(self.at) - 1 + n
             self.at = np.concatenate((self.at, self.at[-1] + stops))
             self.flat = np.concatenate((self.flat, ids))
         at = self.at

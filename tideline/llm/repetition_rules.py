@@ -6,12 +6,14 @@ Runs of the suffix array whose common prefix is `min_words` words or more are th
 substrings; the union of the spans these cover, over the document's words, is the covered fraction. A document fails
 when more than `max_covered` of its words are covered or its longest repeat exceeds `max_repeat` words.
 
+Words and lines are told apart by hashes whose spans' bytes are compared, so no two texts' strings are taken for each other.
+
 Base rules beside it: words, code points in words, symbols of #*$%&|<>, lines equal to an earlier line, and words in
 3-word windows that occur twice or more.
 
 Cases: null and empty texts have no words: all counts 0, base_failed true. Lines are what lies between \\n; a line
 without a word is never a duplicate. Repeated rows are judged alike, one row each; an empty table gives an empty table;
-other columns are not read.
+other columns are not read. A very long text is sorted by itself, whole, at some 100 bytes a word.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import DataFrame
 from tideline.llm import _bytes as B
 from tideline.llm._common import pick
 
+#: Words of texts up to which the ranks of all levels are kept: 4 bytes a word and level.
+KEPT = 1 << 21
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _CODE_POINT = np.ones(256, bool)
@@ -39,18 +43,21 @@ def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, order
 
 
-def suffix_array(word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix array over all documents' words (document first, then the words up to its end), the longest common prefix
-    of each suffix with the one before it (0 across documents), and the rank of each position's first 2 words.
+def suffix_array(word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array over all documents' words (document first, then the words up to its end), and the longest common prefix
+    of each suffix with the one before it (0 across documents).
 
-    word: a hash of each word; equal words have equal hashes. bounds: each document's range.
+    word: a number of each word; only equal words have equal numbers. bounds: each document's range. The
+    doubling's ranks are kept for the common prefixes, one array a level; beyond `KEPT` words (one very long text) they would
+    be too many, and prefixes are followed position by position instead, each being that of the one before less one at least.
     """
     n = len(word)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     end = np.repeat(bounds[1:], np.diff(bounds))
     rank, order = _ranks(word)
     rank, order = _ranks(doc * np.int64(n + 1) + rank)
-    levels, size = [rank], 1
+    kept = n <= KEPT
+    levels, size = [rank.astype(np.int32)], 1
     while n and rank[order[-1]] < n - 1:
         # suffixes that are not yet alone in their class are sorted by what follows; those alone keep their place
         counts = np.bincount(rank)
@@ -74,11 +81,14 @@ def suffix_array(word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
         p = place[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([True], p[1:] != p[:-1]))) - 1
-        levels.append(rank)
+        if kept:
+            levels.append(rank.astype(np.int32))
         size *= 2
         if (np.bincount(rank) == counts[: rank.max() + 1] if rank.max() + 1 == len(counts) else np.array([False])).all():
             break
     lcp = np.zeros(n, np.int64)
+    if not kept:
+        return order, _followed(word, end, order)
     if n:
         a, b = order[:-1].copy(), order[1:].copy()
         together = doc[a] == doc[b]
@@ -94,7 +104,30 @@ def suffix_array(word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
                 if level < len(levels) - 1:
                     break
         lcp[1:] = a - order[:-1]
-    return order, lcp, levels
+    return order, lcp
+
+
+def _followed(word: np.ndarray, end: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Common prefixes with the suffix before, by following the text's positions in order."""
+    n = len(word)
+    before = np.empty(n, np.int64)  # of each position, the suffix before it in the array
+    before[order[0]] = -1
+    before[order[1:]] = order[:-1]
+    w, stop, prior = (memoryview(np.ascontiguousarray(x, np.int64)) for x in (word, end, before))
+    found = np.zeros(n, np.int64)
+    out, k = memoryview(found), 0
+    for i in range(n):
+        j = prior[i]
+        if j < 0 or stop[i] != stop[j]:
+            k = 0
+            continue
+        most = stop[i] - (i if i > j else j)
+        while k < most and w[i + k] == w[j + k]:
+            k += 1
+        out[i] = k
+        if k:
+            k -= 1
+    return found[order]
 
 
 def repeats(order: np.ndarray, lcp: np.ndarray, n: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,14 +158,14 @@ def measure(buf: np.ndarray, offsets: np.ndarray, min_words: int) -> dict[str, n
     has_word = np.searchsorted(starts, stop) > np.searchsorted(starts, cut)
     cut, stop = cut[has_word], stop[has_word]
     line_doc = np.searchsorted(offsets, cut, "right") - 1
-    line = B.hashes(buf, cut, stop)
+    line = B.numbers(buf, cut, stop)[0]
     order = np.lexsort((line, line_doc))
     again = np.zeros(len(line), bool)
     again[order[1:]] = (line[order[1:]] == line[order[:-1]]) & (line_doc[order[1:]] == line_doc[order[:-1]])
     out["n_dup_lines"] = np.bincount(line_doc[again], minlength=n_docs)
     # repeated words
-    word = B.hashes(buf, starts, ends)
-    order, lcp, levels = suffix_array(word, bounds)
+    word = B.numbers(buf, starts, ends)[0]
+    order, lcp = suffix_array(word, bounds)
     covered, longest = repeats(order, lcp, len(word), min_words)
     triple = np.where(longest >= 3, np.arange(len(word)) + 3, 0)
     in_triple = np.maximum.accumulate(triple) > np.arange(len(word)) if len(word) else covered
