@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tideline.plans import registry
+from tideline.plans import registry, relational
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -43,6 +43,16 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "o_totalprice" not in plan.split("ReadSchema")[1]
 
 
+#: Queries whose all-pairs plan is their feature, over tables of a few rows.
+SMALL_PAIRS = {"join_cross_small", "join_self_alias", "cte_recursive", "graph_stats"}
+
+
+@pytest.mark.parametrize("name", [*relational.QUERIES, "graph_dependencies", "reuse_component_match", "reuse_similarity", "cdc_apply_final_state", "catalog_fk_join_paths", "reuse_opportunities_validated"])
+def test_no_plan_pairs_all_rows(spark, sf_dir, name):
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert name in SMALL_PAIRS or "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
 def test_entry_module(spark, sf_dir):
     import __spark_entry__ as entry
 

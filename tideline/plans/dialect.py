@@ -24,10 +24,17 @@ def to_spark(sql: str, now: str | None = None) -> str:
 
 
 def run(spark: SparkSession, sql: str, now: str | None = None, **tables: DataFrame) -> DataFrame:
-    """Run a PostgreSQL query over named DataFrames."""
+    """Run a PostgreSQL statement over named DataFrames; for INSERT, UPDATE and DELETE the rows that it leaves behind."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(to_spark(sql, now))
+    tree = parse(sql)
+    if tree.kind != "insert":
+        return spark.sql(Printer(now).statement(tree))
+    printer = Printer(now)
+    target = spark.table(tree.table.name)
+    names = list(tree.columns) or target.columns
+    new = spark.sql(printer.ctes(tree) + printer.query(tree.query)).toDF(*names)
+    return target.unionByName(new, allowMissingColumns=True).select(*target.columns)
 
 
 def _name(text: str) -> str:
@@ -199,11 +206,11 @@ class Printer:
             base, path = self.json_path(n)
             return f"get_json_object({base}, {_string(path)})"
         if n.op == "?":
-            return f"(get_json_object({self.x(n.left)}, concat('$.', {self.x(n.right)})) IS NOT NULL)"
+            return self.has_key(n.left, n.right)
         if n.op in ("?|", "?&"):
             items = n.right.items if n.right.kind == "array" else []
             join = " OR " if n.op == "?|" else " AND "
-            return "(" + join.join(f"get_json_object({self.x(n.left)}, concat('$.', {self.x(i)})) IS NOT NULL" for i in items) + ")"
+            return "(" + join.join(self.has_key(n.left, i) for i in items) + ")"
         if n.op in ("@>", "<@"):
             return self.contains(*((n.left, n.right) if n.op == "@>" else (n.right, n.left)))
         if n.op == "^":
@@ -214,25 +221,40 @@ class Printer:
         text = f"{self.x(n.left)} {n.op.upper()} {self.x(n.right)}"
         return f"({text})"
 
+    def has_key(self, value: Node, key: Node) -> str:
+        """Whether a JSON object has a key, whatever its value; a JSON null is a value."""
+        return f"coalesce(array_contains(json_object_keys({self.x(value)}), {self.x(key)}), false)"
+
     def contains(self, outer: Node, inner: Node) -> str:
-        """Whether a JSON column holds all keys of a constant object, with equal values."""
+        """Whether one JSON value holds another, of which one is a constant object. A constant's keys are all looked up,
+        types and nulls told apart; a column in a constant needs each of its keys there, with an equal value."""
         import json
 
         known, value = _literal(inner)
-        if not known or not isinstance(json.loads(value), dict):
-            raise SqlError("containment needs a constant object")
-
-        def tests(at, part):
-            for key, v in part.items():
-                here = f"{at}.{key}"
-                if isinstance(v, dict):
-                    yield from tests(here, v)
-                elif isinstance(v, str):
-                    yield f"get_json_object({self.x(outer)}, {_string(here)}) = {_string(v)}"
-                else:
-                    yield f"get_json_object({self.x(outer)}, {_string(here)}) = {_string(json.dumps(v))}"
-
-        return "(" + (" AND ".join(tests("$", json.loads(value))) or "true") + ")"
+        if known and isinstance(json.loads(value), dict):
+            return "(" + (" AND ".join(self.holds(self.x(outer), "$", json.loads(value))) or f"try_parse_json({self.x(outer)}) IS NOT NULL") + ")"
+        known, value = _literal(outer)
+        if not known or not isinstance(json.loads(value), dict) or any(isinstance(v, (dict, list)) for v in json.loads(value).values()):
+            raise SqlError("containment needs a constant object, a flat one if it is the outer")
+        column, whole = self.x(inner), json.loads(value)
+        at = lambda k: f"to_json(try_variant_get(try_parse_json({column}), {_string('$.' + k)}, 'variant'))"
+        tests = [f"(NOT {self.has_key(inner, Node('lit', value=k, type='string'))} OR {at(k)} = {_string(json.dumps(v))})" for k, v in whole.items()]
+        allowed = f"size(array_except(json_object_keys({column}), array({', '.join(map(_string, whole))}))) = 0" if whole else f"size(json_object_keys({column})) = 0"
+        return "(" + " AND ".join([allowed, *tests]) + ")"
+
+    def holds(self, outer: str, at: str, part: dict):
+        import json
+
+        for key, v in part.items():
+            here = f"{at}.{key}"
+            if isinstance(v, dict) and v:
+                yield from self.holds(outer, here, v)
+            elif isinstance(v, list):
+                for item in v:
+                    element = f"transform(try_cast(try_variant_get(try_parse_json({outer}), {_string(here)}, 'variant') AS ARRAY<VARIANT>), e -> to_json(e))"
+                    yield f"coalesce(array_contains({element}, {_string(json.dumps(item, separators=(',', ':')))}), false)"
+            else:
+                yield f"coalesce(to_json(try_variant_get(try_parse_json({outer}), {_string(here)}, 'variant')) = {_string(json.dumps(v, separators=(',', ':')))}, false)"
 
     def x_neg(self, n):
         return f"-{self.x(n.x)}"

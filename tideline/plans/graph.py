@@ -22,9 +22,11 @@ def nodes(queries: DataFrame) -> DataFrame:
 def _met(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs whose tables meet, with the number in common; right's columns are prefixed c_."""
     other = right.select(*[F.col(c).alias(f"c_{c}") for c in right.columns])
-    a, b = left.withColumn("tbl", F.explode("tables")), other.withColumn("tbl", F.explode("c_tables"))
-    pairs = a.select("query_id", "tbl").join(b.select("c_query_id", "tbl"), "tbl").groupBy("query_id", "c_query_id").agg(F.count("*").alias("shared"))
-    return pairs.join(left, "query_id").join(other, "c_query_id")
+    # sets of tables meet, of which there are far fewer than queries; queries follow by their set
+    key = lambda c: F.array_sort(F.array_distinct(c))
+    sets = [df.select(key(c).alias(s)).distinct().withColumn("tbl", F.explode(s)) for df, c, s in ((left, "tables", "_set"), (other, "c_tables", "_c_set"))]
+    met = sets[0].join(sets[1], "tbl").groupBy("_set", "_c_set").agg(F.count("*").alias("shared"))
+    return met.join(left.withColumn("_set", key("tables")), "_set").join(other.withColumn("_c_set", key("c_tables")), "_c_set").drop("_set", "_c_set")
 
 
 def dependencies(graph: DataFrame) -> DataFrame:
@@ -50,6 +52,30 @@ def affected(graph: DataFrame, edges: DataFrame, table: str) -> DataFrame:
     return reached
 
 
+def remove(graph: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without some queries (gone: query_id); edges go at either end."""
+    ids = gone.select(F.col("query_id").alias("_gone")).distinct()
+    kept = edges.join(ids, edges["src"] == F.col("_gone"), "left_anti").join(ids, edges["dst"] == F.col("_gone"), "left_anti")
+    return graph.join(ids, graph["query_id"] == F.col("_gone"), "left_anti"), kept
+
+
+def dependency_chain(edges: DataFrame, start: str) -> DataFrame:
+    """(step, query_id): what a query depends on, each after what it needs, and the query itself last. Breadth-first rounds of joins find the edges
+    below the query; only those, the chain's own, are put in order on the driver."""
+    from tideline.streaming.local import written
+
+    spark = edges.sparkSession
+    fresh = spark.createDataFrame([(start,)], "node string")
+    below, seen = None, fresh
+    while not fresh.isEmpty():
+        step = written(edges.join(fresh, edges["src"] == fresh["node"], "left_semi"), "chain")
+        below = step if below is None else below.unionByName(step)
+        fresh = written(step.select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"), "chain")
+        seen = seen.unionByName(fresh)
+    order = chain([tuple(r) for r in below.select("src", "dst").collect()], start)
+    return spark.createDataFrame(list(enumerate(order, 1)), "step int, query_id string")
+
+
 def chain(edges: list[tuple[str, str]], start: str) -> list[str]:
     """What a query depends on, in an order in which each comes after what it needs; cycles are cut where they close."""
     below: dict[str, list[str]] = {}
@@ -96,8 +122,14 @@ def stats(graph: DataFrame, edges: DataFrame) -> DataFrame:
     return counts.crossJoin(out).crossJoin(into).crossJoin(names).na.fill(0)
 
 
+def dot_lines(graph: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, a, b, line): the lines of the graph's DOT text, in order of the first three; made where the rows are."""
+    ends = graph.sparkSession.createDataFrame([(0, "", "", "digraph queries {"), (3, "", "", "}")], "part int, a string, b string, line string")
+    boxes = graph.select(F.lit(1).alias("part"), F.col("query_id").alias("a"), F.lit("").alias("b"), F.format_string('  "%s" [label="%s\\n%s"];', "query_id", "query_id", F.array_join("tables", ",")).alias("line"))
+    arrows = edges.select(F.lit(2).alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"), F.format_string('  "%s" -> "%s";', "src", "dst").alias("line"))
+    return ends.unionByName(boxes).unionByName(arrows)
+
+
 def dot(graph: DataFrame, edges: DataFrame) -> str:
-    """The graph as DOT text, in order of name; for graphs that fit a picture."""
-    lines = [f'  "{r["query_id"]}" [label="{r["query_id"]}\\n{",".join(r["tables"])}"];' for r in graph.select("query_id", "tables").orderBy("query_id").collect()]
-    lines += [f'  "{r["src"]}" -> "{r["dst"]}";' for r in edges.orderBy("src", "dst").collect()]
-    return "digraph queries {\n" + "\n".join(lines) + "\n}\n"
+    """The DOT text of a graph that fits a picture."""
+    return "\n".join(r["line"] for r in dot_lines(graph, edges).orderBy("part", "a", "b").collect()) + "\n"

@@ -117,7 +117,7 @@ def route_complexity(spark, sf_dir):
     m = F.col("metadata")
     found = analyzed(corpus(spark), "metadata").where("error is null")
     score = routing.complexity(m["operation"], m["has_ctes"], m["is_recursive_cte"], m["has_window_functions"], m["has_distinct"], m["is_aggregate"], m["has_database_specific_ops"], F.size(m["tables"]))
-    return found.select("query_id", score.alias("score")).where("query_id in ('q01', 'q02', 'q07', 'q08', 'q09', 'q10', 'q14', 'q18')")
+    return found.select("query_id", score.alias("score"))
 
 
 def _query_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,36 +134,35 @@ def route_strategy_stats(spark, sf_dir):
 
 
 # change streams
-def _phase(spark: SparkSession, sf_dir: str) -> int:
-    """How far apart in the log its kinds of change begin: 100,000, or as many times that as the largest key needs."""
-    most = read(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] or 0
-    return 100_000 * (most // 10 // 100_000 + 1)
+#: How far apart in the log its kinds of change begin: beyond any order's number.
+_PHASE = 1 << 40
 
 
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log made of orders by arithmetic: each order is inserted; every third is updated (status only), every fifth
-    updated again (price to null), every seventh deleted, every 35th inserted anew. Ten orders a transaction."""
+    """A log made of orders by arithmetic, in one pass: each order is inserted; every third is updated (status only), every
+    fifth updated again (price to null), every seventh deleted, every 35th inserted anew. Ten orders a transaction."""
     o = read(spark, sf_dir, "orders")
-    key, step = F.col("o_orderkey"), _phase(spark, sf_dir)
+    key = F.col("o_orderkey")
     hexed = lambda n: F.concat(F.hex(F.shiftright(n, 32)), F.lit("/"), F.hex(n.bitwiseAND(F.lit(0xFFFFFFFF))))
     kinds = [
-        (F.lit(True), 0, "insert", F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(18,2)").alias("price")))),
-        (key % 3 == 0, step, "update", F.to_json(F.struct(F.lit("U").alias("status")))),
-        (key % 5 == 0, 2 * step, "update", F.lit('{"price":null}')),
-        (key % 7 == 0, 3 * step, "delete", F.lit(None).cast("string")),
-        (key % 35 == 0, 4 * step, "insert", F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.lit("N").alias("status")))),
+        (F.lit(True), "insert", F.to_json(F.struct(key.alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(18,2)").alias("price")))),
+        (key % 3 == 0, "update", F.to_json(F.struct(F.lit("U").alias("status")))),
+        (key % 5 == 0, "update", F.lit('{"price":null}')),
+        (key % 7 == 0, "delete", F.lit(None).cast("string")),
+        (key % 35 == 0, "insert", F.to_json(F.struct(key.alias("id"), F.lit("N").alias("status")))),
     ]
-    parts = [
-        o.where(cond).select(
-            hexed(F.expr("o_orderkey div 10") + F.lit(base + 1).cast("long")).alias("commit_lsn"), (key % 10).cast("int").alias("seq"), F.lit("public.orders").alias("table_name"), F.lit(kind).alias("operation"),
-            F.lit("2024-01-01 00:00:00").cast("timestamp").alias("commit_time"), F.to_json(F.struct(key.alias("id"))).alias("keys"), F.lit(None).cast("string").alias("old"), new.alias("new"),
-        )
-        for cond, base, kind, new in kinds
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    made = F.array(*[F.when(cond, F.struct(F.lit(k * _PHASE).alias("base"), F.lit(kind).alias("operation"), new.alias("new"))) for k, (cond, kind, new) in enumerate(kinds)])
+    rows = o.select("o_orderkey", F.explode(F.array_compact(made)).alias("c"))
+    return rows.select(
+        hexed(F.expr("o_orderkey div 10 + 1") + F.col("c.base")).alias("commit_lsn"), (key % 10).cast("int").alias("seq"), F.lit("public.orders").alias("table_name"), F.col("c.operation").alias("operation"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("commit_time"), F.to_json(F.struct(key.alias("id"))).alias("keys"), F.lit(None).cast("string").alias("old"), F.col("c.new").alias("new"),
+    )
+
+
+def _between(log: DataFrame, low: int, high: int) -> DataFrame:
+    """The log's changes of phases low to high - 1."""
+    lsn = cdc.lsn_number(F.col("commit_lsn"))
+    return log.where((lsn >= F.lit(low * _PHASE)) & (lsn < F.lit(high * _PHASE)))
 
 
 STATE = {"status": "string", "price": "decimal(18,2)"}
@@ -171,7 +170,7 @@ _STATE_SQL = """
     SELECT o_orderkey AS id,
            CASE WHEN o_orderkey % 35 = 0 THEN 'N' WHEN o_orderkey % 3 = 0 THEN 'U' ELSE o_orderstatus END AS status,
            CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS price
-    FROM orders WHERE o_orderkey < 10000 AND (o_orderkey % 7 <> 0 OR o_orderkey % 35 = 0)"""
+    FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 35 = 0"""
 
 
 def _state(df: DataFrame) -> DataFrame:
@@ -182,20 +181,49 @@ def cdc_apply_final_state(spark, sf_dir):
     return _state(cdc.final_state(change_log(spark, sf_dir), "id", STATE))
 
 
+def _streamed(spark: SparkSession, root: str) -> tuple[cdc.TableApplier, int]:
+    """The log in root's folder, read by the change-log source and applied from where its checkpoint stands."""
+    from tideline.sources.changes import ChangeLogSource
+
+    spark.dataSource.register(ChangeLogSource)
+    source = spark.readStream.format("changelog").option("path", f"{root}/log").option("acknowledged", f"{root}/acknowledged").load()
+    applier = cdc.TableApplier(spark, f"{root}/state", "id", STATE)
+    return applier, cdc.apply_stream(source, applier, f"{root}/checkpoint")
+
+
 def cdc_stream_final_state(spark, sf_dir):
-    """The log read as a stream of files, applied in micro-batches."""
+    """The log read as a stream of whole transactions and applied to a bucketed table."""
     from tideline.streaming.local import shared_folder
 
     root = shared_folder(spark, "stream")
-    log, lsn, step = change_log(spark, sf_dir), cdc.lsn_number(F.col("commit_lsn")), _phase(spark, sf_dir)
-    for low, high in ((0, step * 3 // 2), (step * 3 // 2, step * 5 // 2), (step * 5 // 2, 5 * step + 1)):  # files come in the order of commits
-        log.where((lsn >= low) & (lsn < high)).coalesce(1).write.mode("append").parquet(f"{root}/log")
-    source = spark.readStream.schema(cdc.CHANGES).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
-    applier = cdc.TableApplier(spark, f"{root}/state", "id", STATE)
-    last = cdc.apply_stream(source, applier, f"{root}/checkpoint")
+    change_log(spark, sf_dir).write.parquet(f"{root}/log")
+    applier, last = _streamed(spark, root)
     return _state(applier.table(last))
 
 
+def cdc_checkpoint_resume(spark, sf_dir):
+    """The log arrives in three parts; each run of the stream goes on from the checkpoint of the one before."""
+    from tideline.streaming.local import shared_folder
+
+    root, log = shared_folder(spark, "resume"), change_log(spark, sf_dir)
+    for low, high in ((0, 1), (1, 3), (3, 5)):
+        _between(log, low, high).write.mode("append").parquet(f"{root}/log")
+        applier, last = _streamed(spark, root)
+    return _state(applier.table(last)).withColumn("position", F.lit(applier.position(last)))
+
+
+def cdc_snapshot_then_stream(spark, sf_dir):
+    """A snapshot that holds the first two kinds of change, then the log after its position."""
+    from tideline.sources import snapshot
+    from tideline.streaming.local import shared_folder
+
+    log = change_log(spark, sf_dir)
+    held = cdc.final_state(_between(log, 0, 2), "id", STATE)
+    made = snapshot.export(spark, shared_folder(spark, "snapshots"), {"orders": held}, cdc.format_lsn(2 * _PHASE - 1))
+    again, tables = snapshot.load(spark, made.path, made.name)
+    return _state(cdc.final_state(snapshot.after(log, again), "id", STATE, tables["orders"]))
+
+
 def cdc_tx_batches(spark, sf_dir):
     return cdc.transactions(change_log(spark, sf_dir)).select("commit_lsn", F.col("lsn").cast("bigint").alias("lsn"), "changes", "inserts", "updates", "deletes")
 
@@ -231,17 +259,14 @@ def publication_reconcile(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     graph_dependencies, graph_affected, graph_reusable, graph_reuse_chain, graph_stats, reuse_component_match, reuse_gate, reuse_similarity, reuse_scores, reuse_subqueries,
-    route_decisions, route_complexity, route_rolling_metrics, route_strategy_stats, cdc_apply_final_state, cdc_stream_final_state, cdc_tx_batches, cdc_backpressure_drop,
+    route_decisions, route_complexity, route_rolling_metrics, route_strategy_stats, cdc_apply_final_state, cdc_stream_final_state, cdc_checkpoint_resume, cdc_snapshot_then_stream, cdc_tx_batches, cdc_backpressure_drop,
     lsn_compare_distance, cdc_decode_values, stream_tumbling_counts, publication_reconcile,
 )}
 
 _LOG_SQL = """
-    SELECT '0/' || upper(to_hex(k // 10 + base + 1)) AS commit_lsn, k // 10 + base + 1 AS lsn, k % 10 AS seq, op FROM (
-        SELECT o_orderkey AS k, 0 AS base, 'insert' AS op FROM orders WHERE o_orderkey < 10000
-        UNION ALL SELECT o_orderkey, 100000, 'update' FROM orders WHERE o_orderkey < 10000 AND o_orderkey % 3 = 0
-        UNION ALL SELECT o_orderkey, 200000, 'update' FROM orders WHERE o_orderkey < 10000 AND o_orderkey % 5 = 0
-        UNION ALL SELECT o_orderkey, 300000, 'delete' FROM orders WHERE o_orderkey < 10000 AND o_orderkey % 7 = 0
-        UNION ALL SELECT o_orderkey, 400000, 'insert' FROM orders WHERE o_orderkey < 10000 AND o_orderkey % 35 = 0) t"""
+    SELECT upper(to_hex(lsn >> 32)) || '/' || upper(to_hex(lsn & 4294967295)) AS commit_lsn, lsn, seq, op FROM (
+        SELECT o_orderkey // 10 + 1 + phase * 1099511627776 AS lsn, o_orderkey % 10 AS seq, op
+        FROM orders JOIN (VALUES (0, 1, 'insert'), (1, 3, 'update'), (2, 5, 'update'), (3, 7, 'delete'), (4, 35, 'insert')) p(phase, every, op) ON o_orderkey % every = 0) t"""
 _EVENTS_SQL = "SELECT ts, event_id % 3 = 0 AS cache_hit, event_id % 1000 + 1 AS response_us, ['LOCAL_CACHE', 'LOCAL_DATABASE', 'BYPASS'][event_id % 3 + 1] AS strategy FROM events"
 
 ORACLES = {
@@ -267,7 +292,15 @@ ORACLES = {
     "route_decisions": _values("query_id:VARCHAR, strategy:VARCHAR, reason:VARCHAR, estimate_ms:INTEGER", [
         ("t1", "LOCAL_CACHE", "high load", 5), ("t2", "LOCAL_CACHE", "cached", 5), ("t3", "BYPASS", "too complex for memory", 200), ("t4", "LOCAL_DATABASE", "default", 100), ("t5", "LOCAL_DATABASE", "default", 100),
     ]),
-    "route_complexity": _values("query_id:VARCHAR, score:DOUBLE", [("q01", "0.2"), ("q02", "0.3"), ("q07", "0.5"), ("q08", "0.3"), ("q09", "0.3"), ("q10", "0.4"), ("q14", "0.2"), ("q18", "0.3")]),
+    "route_complexity": """
+        WITH facts(query_id, op, cte, rec, win, dist, agg, dbs, tabs) AS (VALUES
+            ('q01','SELECT',false,false,false,false,false,true,1), ('q02','SELECT',false,false,false,false,true,false,2), ('q03','SELECT',false,false,false,false,true,false,1), ('q04','SELECT',false,false,false,false,true,false,1),
+            ('q05','SELECT',false,false,false,false,true,false,1), ('q06','SELECT',false,false,false,false,false,true,1), ('q07','SELECT',true,false,false,false,false,false,2), ('q08','SELECT',false,false,false,true,false,true,1),
+            ('q09','SELECT',false,false,true,false,false,false,1), ('q10','INSERT',false,false,false,false,false,false,2), ('q11','UPDATE',false,false,false,false,false,false,2), ('q12','DELETE',false,false,false,false,false,false,2),
+            ('q13','SELECT',false,false,false,false,true,false,1), ('q14','SELECT',false,false,false,false,false,false,3), ('q15','SELECT',false,false,false,false,true,false,1), ('q17','SELECT',false,false,false,false,false,false,1),
+            ('q18','SELECT',false,false,false,false,true,true,1))
+        SELECT query_id, CAST(round(least(1.0, CASE WHEN op = 'SELECT' THEN 0.1 ELSE 0.3 END + CASE WHEN cte THEN 0.3 ELSE 0 END + CASE WHEN cte AND rec THEN 0.2 ELSE 0 END + CASE WHEN win THEN 0.2 ELSE 0 END
+               + CASE WHEN dist THEN 0.1 ELSE 0 END + CASE WHEN agg THEN 0.1 ELSE 0 END + CASE WHEN dbs THEN 0.1 ELSE 0 END + CASE WHEN tabs > 3 THEN 0.2 WHEN tabs > 1 THEN 0.1 ELSE 0 END), 6) AS DOUBLE) AS score FROM facts""",
     "route_rolling_metrics": f"""
         WITH e AS ({_EVENTS_SQL}), w AS (SELECT *, ts > TIMESTAMP '2024-01-15 11:00:00' AS fresh FROM e WHERE ts > TIMESTAMP '2024-01-15 06:00:00' AND ts <= TIMESTAMP '2024-01-15 12:00:00')
         SELECT count(*) AS n, CAST(sum(response_us) AS DOUBLE) / count(*) AS mean_us, count(*) / 21600.0::DOUBLE AS per_second,
@@ -275,6 +308,8 @@ ORACLES = {
     "route_strategy_stats": f"SELECT strategy, count(*) AS n, count(*) FILTER (WHERE cache_hit) AS hits, CAST(sum(response_us) AS DOUBLE) / count(*) AS mean_us FROM ({_EVENTS_SQL}) e GROUP BY strategy",
     "cdc_apply_final_state": _STATE_SQL,
     "cdc_stream_final_state": _STATE_SQL,
+    "cdc_snapshot_then_stream": _STATE_SQL,
+    "cdc_checkpoint_resume": f"SELECT s.*, (SELECT arg_max(commit_lsn, lsn) FROM ({_LOG_SQL}) l) AS position FROM ({_STATE_SQL}) s",
     "cdc_tx_batches": f"SELECT commit_lsn, lsn, count(*) AS changes, count(*) FILTER (WHERE op = 'insert') AS inserts, count(*) FILTER (WHERE op = 'update') AS updates, count(*) FILTER (WHERE op = 'delete') AS deletes FROM ({_LOG_SQL}) l GROUP BY commit_lsn, lsn",
     "cdc_backpressure_drop": f"SELECT commit_lsn, least(count(*), 2) AS changes FROM ({_LOG_SQL}) l GROUP BY commit_lsn",
     "lsn_compare_distance": _values("a:VARCHAR, b:VARCHAR, cmp:INTEGER, distance:VARCHAR, number:VARCHAR", [

@@ -65,8 +65,8 @@ SAME = {
     "join_right": """
         SELECT n.n_name, s.s_name FROM {supplier} s RIGHT JOIN {nation} n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000""",
     "join_full": """
-        SELECT c.k AS customer_key, s.k AS supplier_key FROM (SELECT c_custkey AS k FROM {customer} WHERE c_custkey % 3 = 0) c
-        FULL JOIN (SELECT s_suppkey AS k FROM {supplier} WHERE s_suppkey % 2 = 0) s ON c.k = s.k""",
+        SELECT c.k AS indebted, o.k AS ordering FROM (SELECT c_custkey AS k FROM {customer} WHERE c_acctbal < 0) c
+        FULL JOIN (SELECT DISTINCT o_custkey AS k FROM {orders} WHERE o_orderstatus = 'F') o ON c.k = o.k""",
     "join_cross_small": "SELECT r.r_name, n.n_name FROM {region} r CROSS JOIN {nation} n WHERE r.r_regionkey < n.n_regionkey",
     "join_using": """
         SELECT k, a.x, b.y FROM (SELECT c_nationkey AS k, count(*) AS x FROM {customer} GROUP BY c_nationkey) a
@@ -164,7 +164,7 @@ SAME = {
     "math_expressions": """
         SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(18,4)) * CAST(l_quantity AS DECIMAL(18,4)) AS DOUBLE) AS product,
                abs(l_discount - l_tax) AS gap, CAST(floor(l_extendedprice) AS BIGINT) AS whole, CAST(ceil(l_quantity / 7) AS BIGINT) AS weeks, l_orderkey % 7 AS m
-        FROM {lineitem} WHERE l_linenumber = 1""",
+        FROM {lineitem}""",
     # sorting
     "sort_topk": "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "limit_offset": "SELECT c_custkey, c_acctbal FROM {customer} ORDER BY c_acctbal ASC, c_custkey LIMIT 20 OFFSET 15",
@@ -182,9 +182,6 @@ SAME = {
     "set_except": "SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partkey AS k FROM {lineitem} WHERE l_quantity > 45",
     "set_except_all": "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey AS k FROM {supplier}",
     # subqueries, CTEs
-    "sub_scalar_correlated": """
-        SELECT o.o_orderkey, o.o_totalprice FROM {orders} o
-        WHERE o.o_totalprice > (SELECT max(i.o_totalprice) * 0.9 FROM {orders} i WHERE i.o_custkey = o.o_custkey AND i.o_orderkey <> o.o_orderkey)""",
     "sub_scalar_select": """
         SELECT n.n_name, (SELECT count(*) FROM {customer} c WHERE c.c_nationkey = n.n_nationkey) AS customers FROM {nation} n""",
     "sub_derived": """
@@ -253,46 +250,78 @@ PAIRS = {
         "SELECT event_type, count(*) AS n, sum(CAST(get_json_object(props, '$.k') AS BIGINT)) AS total FROM {events} WHERE CAST(get_json_object(props, '$.k') AS INT) > 50 GROUP BY event_type",
         "SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS total FROM {events} WHERE CAST(props->>'$.k' AS INT) > 50 GROUP BY event_type",
     ),
-    "json_key_exists": (
-        "SELECT event_type, count(*) AS n FROM {events} WHERE get_json_object(props, '$.k') IS NOT NULL AND get_json_object(props, '$.z') IS NULL GROUP BY event_type",
-        "SELECT event_type, count(*) AS n FROM {events} WHERE json_exists(props, '$.k') AND NOT json_exists(props, '$.z') GROUP BY event_type",
-    ),
-    "json_containment": (
-        "SELECT event_id FROM {events} WHERE variant_get(parse_json(props), '$.k', 'int') = 69",
-        "SELECT event_id FROM {events} WHERE json_contains(props, '{{\"k\": 69}}')",
+    # the two highest prices of a customer (pruned before the shuffle) answer "the highest of the others" for every order
+    "sub_scalar_correlated": (
+        "WITH ranked AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM {orders}), top AS (SELECT o_custkey, max(CASE WHEN rn = 1 THEN o_orderkey END) AS best_key, max(CASE WHEN rn = 1 THEN o_totalprice END) AS best, max(CASE WHEN rn = 2 THEN o_totalprice END) AS second FROM ranked WHERE rn <= 2 GROUP BY o_custkey) SELECT o.o_orderkey, o.o_totalprice FROM {orders} o JOIN top t ON o.o_custkey = t.o_custkey WHERE o.o_totalprice > (CASE WHEN o.o_orderkey = t.best_key THEN t.second ELSE t.best END) * 0.9",
+        "SELECT o.o_orderkey, o.o_totalprice FROM {orders} o WHERE o.o_totalprice > (SELECT max(i.o_totalprice) * 0.9 FROM {orders} i WHERE i.o_custkey = o.o_custkey AND i.o_orderkey <> o.o_orderkey)",
     ),
     "array_functions": (
         "SELECT n_regionkey, array_join(array_append(ks, 99), ',') AS appended, array_join(array_prepend(ks, -1), ',') AS prepended, array_join(concat(ks, array(7, 8)), ',') AS joined, array_join(array_remove(ks, 3), ',') AS removed, array_join(transform(ks, x -> CASE WHEN x = 4 THEN 40 ELSE x END), ',') AS replaced, size(ks) AS n, concat('[1:', size(ks), ']') AS dims, 1 AS low, size(ks) AS high FROM (SELECT n_regionkey, array_sort(collect_list(n_nationkey)) AS ks FROM {nation} GROUP BY n_regionkey) t",
         "SELECT n_regionkey, array_to_string(list_append(ks, 99), ',') AS appended, array_to_string(list_prepend(-1, ks), ',') AS prepended, array_to_string(list_concat(ks, [7, 8]), ',') AS joined, array_to_string(list_filter(ks, lambda x: x <> 3), ',') AS removed, array_to_string(list_transform(ks, lambda x: CASE WHEN x = 4 THEN 40 ELSE x END), ',') AS replaced, CAST(len(ks) AS INT) AS n, concat('[1:', len(ks), ']') AS dims, 1 AS low, CAST(len(ks) AS INT) AS high FROM (SELECT n_regionkey, list(n_nationkey ORDER BY n_nationkey) AS ks FROM {nation} GROUP BY n_regionkey) t",
     ),
     "array_unnest_embedding": (
-        "SELECT label, pos, count(*) AS n, CAST(sum(CAST(x AS DECIMAL(12,6))) AS DOUBLE) AS total FROM (SELECT label, posexplode(embedding) AS (pos, x) FROM {embeddings}) t WHERE pos < 8 GROUP BY label, pos",
-        "SELECT label, CAST(pos - 1 AS INT) AS pos, count(*) AS n, CAST(sum(CAST(x AS DECIMAL(12,6))) AS DOUBLE) AS total FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM {embeddings}) t WHERE pos <= 8 GROUP BY label, pos",
+        "SELECT label, pos, count(*) AS n, CAST(sum(CAST(x AS DECIMAL(12,6))) AS DOUBLE) AS total FROM (SELECT label, posexplode(embedding) AS (pos, x) FROM {embeddings}) t GROUP BY label, pos",
+        "SELECT label, CAST(pos - 1 AS INT) AS pos, count(*) AS n, CAST(sum(CAST(x AS DECIMAL(12,6))) AS DOUBLE) AS total FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM {embeddings}) t GROUP BY label, pos",
     ),
     "map_functions": (
         "SELECT o_custkey, array_join(array_sort(map_keys(m)), ',') AS statuses, coalesce(m['F'], 0) AS finished FROM (SELECT o_custkey, map_from_entries(collect_list(struct(o_orderstatus, n))) AS m FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM {orders} GROUP BY o_custkey, o_orderstatus) a GROUP BY o_custkey) b",
         "SELECT o_custkey, string_agg(o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses, CAST(coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN n END), 0) AS BIGINT) AS finished FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM {orders} GROUP BY o_custkey, o_orderstatus) a GROUP BY o_custkey",
     ),
+}
+
+
+#: Statements in the PostgreSQL dialect, run through its printer, and the independent engine's text. For INSERT, UPDATE
+#: and DELETE the result is the table that the statement leaves.
+PRINTED = {
+    "json_key_exists": (
+        "SELECT event_type, count(*) AS n FROM events WHERE props ? 'k' AND NOT props ? 'z' GROUP BY event_type",
+        "SELECT event_type, count(*) AS n FROM events WHERE json_exists(props, '$.k') AND NOT json_exists(props, '$.z') GROUP BY event_type",
+    ),
+    "json_any_all_keys": (
+        "SELECT count(*) AS n FROM events WHERE props ?| ARRAY['z', 'k'] AND NOT props ?& ARRAY['k', 'z']",
+        "SELECT count(*) AS n FROM events WHERE (json_exists(props, '$.k') OR json_exists(props, '$.z')) AND NOT (json_exists(props, '$.k') AND json_exists(props, '$.z'))",
+    ),
+    "json_containment": (
+        "SELECT event_id, event_type FROM events WHERE props @> '{\"k\": 69}' OR '{\"k\": 7}' @> props",
+        "SELECT event_id, event_type FROM events WHERE json_contains(props, '{\"k\": 69}') OR json_contains('{\"k\": 7}', props)",
+    ),
+    "json_path_list": (
+        "SELECT event_id, props #>> '{k}' AS k, props #>> '{k,z}' AS deeper FROM events WHERE (props->>'k')::int < 50",
+        "SELECT event_id, props->>'$.k' AS k, props->>'$.k.z' AS deeper FROM events WHERE CAST(props->>'$.k' AS INT) < 50",
+    ),
     "dml_insert_select": (
-        "SELECT c_custkey, c_name FROM {customer} WHERE c_custkey < 50 UNION ALL SELECT s_suppkey + 1000000, s_name FROM {supplier} WHERE s_acctbal > 0",
-        "SELECT c_custkey, c_name FROM {customer} WHERE c_custkey < 50 UNION ALL SELECT s_suppkey + 1000000, s_name FROM {supplier} WHERE s_acctbal > 0",
+        "INSERT INTO customer (c_custkey, c_name) SELECT s_suppkey + 1000000, s_name FROM supplier WHERE s_acctbal > 0",
+        "SELECT * FROM customer UNION ALL SELECT s_suppkey + 1000000, s_name, NULL, NULL, NULL FROM supplier WHERE s_acctbal > 0",
     ),
     "dml_update_from": (
-        "SELECT c.c_custkey, CASE WHEN n.n_nationkey IS NOT NULL THEN concat('moved ', n.n_name) ELSE c.c_mktsegment END AS c_mktsegment FROM {customer} c LEFT JOIN {nation} n ON c.c_nationkey = n.n_nationkey AND n.n_regionkey = 2",
-        "SELECT c.c_custkey, CASE WHEN n.n_nationkey IS NOT NULL THEN concat('moved ', n.n_name) ELSE c.c_mktsegment END AS c_mktsegment FROM {customer} c LEFT JOIN {nation} n ON c.c_nationkey = n.n_nationkey AND n.n_regionkey = 2",
+        "UPDATE customer SET c_mktsegment = 'moved ' || n.n_name, c_acctbal = 0.0 FROM nation n WHERE customer.c_nationkey = n.n_nationkey AND n.n_regionkey = 2",
+        "SELECT c_custkey, c_name, c_nationkey, CASE WHEN hit THEN 0.0 ELSE c_acctbal END AS c_acctbal, CASE WHEN hit THEN 'moved ' || n_name ELSE c_mktsegment END AS c_mktsegment FROM (SELECT *, coalesce(n_regionkey = 2, false) AS hit FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey) t",
     ),
     "dml_delete_using": (
-        "SELECT o.o_orderkey FROM {orders} o LEFT ANTI JOIN (SELECT c_custkey FROM {customer} WHERE c_acctbal < 0) c ON o.o_custkey = c.c_custkey",
-        "SELECT o_orderkey FROM {orders} WHERE o_custkey NOT IN (SELECT c_custkey FROM {customer} WHERE c_acctbal < 0)",
+        "DELETE FROM orders USING customer c WHERE orders.o_custkey = c.c_custkey AND c.c_acctbal < 0",
+        "SELECT * FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE o.o_custkey = c.c_custkey AND c.c_acctbal < 0)",
     ),
 }
 
 
+def printed(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query callable for a PostgreSQL statement over the tables that it names."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tideline.functions import analyze
+        from tideline.functions.sqlparse import parse
+        from tideline.plans import dialect
+
+        return dialect.run(spark, text, **{n: read(spark, sf_dir, n) for n in analyze.tables(parse(text))["base"]})
+
+    return run
+
+
 def _plain(text: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", text).replace("{{", "{").replace("}}", "}")
 
 
-QUERIES = {"bucket_case_agg": bucket_case_agg, **{k: sql_query(v) for k, v in SAME.items()}, **{k: sql_query(v[0]) for k, v in PAIRS.items()}}
+QUERIES = {"bucket_case_agg": bucket_case_agg, **{k: sql_query(v) for k, v in SAME.items()}, **{k: sql_query(v[0]) for k, v in PAIRS.items()}, **{k: printed(v[0]) for k, v in PRINTED.items()}}
 ORACLES = {
     "bucket_case_agg": """
         SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, count(*) AS n,
@@ -303,4 +332,5 @@ ORACLES = {
         FROM events GROUP BY 1""",
     **{k: _plain(v) for k, v in SAME.items()},
     **{k: _plain(v[1]) for k, v in PAIRS.items()},
+    **{k: v[1] for k, v in PRINTED.items()},
 }

@@ -20,6 +20,8 @@ from tideline.functions.sqlparse import Node, parse
 COSTS = {"JOIN": 20.0, "AGGREGATION": 10.0, "WHERE": 5.0, "FROM": 1.0}
 SUPERSET_CREDIT = 0.8
 MS_PER_COST = 1.0
+#: Run and retrieval times in us, and the least speed-up worth while.
+ORIGINAL_US, RETRIEVAL_US, LATE_US, LEAST_SPEEDUP = 10_000.0, 1.0, 0.5, 2.0
 DEPENDS_ON = {"WHERE": "FROM", "AGGREGATION": "GROUP_BY"}
 COMPONENT = "type:string, signature:string, sql:string, tables:array<string>, columns:array<string>, filters:array<string>, deps:array<string>, cost:double"
 
@@ -92,16 +94,23 @@ def query_components(queries: DataFrame, id_col: str = "query_id", sql_col: str
     return analyzed(queries, "components", sql_col=sql_col).select(F.col(id_col).alias("query_id"), F.posexplode("components").alias("pos", "c")).select("query_id", "pos", "c.*")
 
 
-def match(needed: DataFrame, registry: DataFrame, at: Column) -> DataFrame:
+def match(needed: DataFrame, registry: DataFrame, at: Column, model: DataFrame | None = None) -> DataFrame:
     """needed with how each component is served at a time: `exact`, `superset` or `new`, by which cached one, and the
-    cost that saves. registry: signature, type, tables, columns, filters, cost, valid_until. The registry is joined on
-    signature, then on type and tables: both equi-joins, so neither side is broadcast unless Spark knows it is small."""
+    cost that saves. registry: signature, type, tables, columns, filters, cost, valid_until. A cached component of the
+    same type is a superset if it has at least the needed tables and columns, and no filter beyond the needed ones, of
+    which there is one at least (what is left of them is applied to the cached rows). model: (type, cost), which goes
+    before the default costs; a cached component's own cost goes before both. The registry is joined on signature, then on
+    type and the first needed table: equi-joins, so neither side is broadcast unless Spark knows it is small."""
+    if model is not None:
+        known = model.select("type", F.col("cost").alias("_model"))
+        needed = needed.join(known, "type", "left").withColumn("cost", F.coalesce("_model", "cost")).drop("_model")
     live = registry.where(F.col("valid_until") > at)
     exact = live.groupBy("signature").agg(F.max("cost").alias("exact_cost"))
-    wide = live.where("type = 'SELECT'").select("type", F.array_join(F.array_sort("tables"), ",").alias("tables_key"), F.col("signature").alias("wide_signature"), F.col("columns").alias("wide_columns"), F.col("filters").alias("wide_filters"), F.col("cost").alias("wide_cost"))
-    rows = needed.join(exact, "signature", "left").withColumn("tables_key", F.array_join(F.array_sort("tables"), ","))
-    rows = rows.join(wide, ["type", "tables_key"], "left")
-    covers = (F.size(F.array_except("columns", "wide_columns")) == 0) & (F.size(F.array_except("wide_filters", "filters")) == 0)
+    wide = live.select("type", F.explode(F.array_distinct("tables")).alias("table"), F.col("tables").alias("wide_tables"), F.col("signature").alias("wide_signature"), F.col("columns").alias("wide_columns"), F.col("filters").alias("wide_filters"), F.col("cost").alias("wide_cost"))
+    rows = needed.join(exact, "signature", "left").withColumn("table", F.array_min("tables"))
+    rows = rows.join(wide, ["type", "table"], "left")
+    within = lambda a, b: F.size(F.array_except(a, b)) == 0
+    covers = within("tables", "wide_tables") & within("columns", "wide_columns") & within("wide_filters", "filters") & (F.size("filters") > 0)
     keys = [c for c in needed.columns if c not in ("tables", "columns", "filters", "deps", "sql")]
     best = rows.groupBy(*keys).agg(F.max("exact_cost").alias("exact_cost"), F.min(F.when(covers, F.col("wide_signature"))).alias("wide_signature"), F.max(F.when(covers, F.col("wide_cost"))).alias("wide_cost"))
     how = F.when(F.col("exact_cost").isNotNull(), "exact").when(F.col("wide_signature").isNotNull(), "superset").otherwise("new")
@@ -202,18 +211,77 @@ def reuse_opportunities(candidates: DataFrame, cached: DataFrame, least: float =
     return met.withColumn("score", F.round(score, 6)).where(F.col("score") >= least).select("query_id", "cached_id", "score")
 
 
+def validated(found: DataFrame, cached: DataFrame, now: Column, original_us: Column | None = None) -> DataFrame:
+    """Opportunities (query_id, cached_id, score) with whether each is worth while, why not, its speed-up and what it
+    saves, the most saving first by `place`: the cached entry is there, not expired (created + ttl_s, no ttl is for ever),
+    and at least `LEAST_SPEEDUP` times faster. cached: cached_id, created, ttl_s; original_us: by default 10 ms."""
+    from pyspark.sql import Window
+
+    rows = found.join(cached.select("cached_id", "created", "ttl_s", F.lit(True).alias("there")), "cached_id", "left")
+    original = original_us if original_us is not None else F.lit(ORIGINAL_US)
+    retrieval = F.when(now - F.col("created") > F.expr("INTERVAL 1 HOUR"), RETRIEVAL_US + LATE_US).otherwise(RETRIEVAL_US)
+    speed = F.round(original / retrieval, 4)
+    expired = (F.col("ttl_s") > 0) & (now > F.col("created") + F.make_dt_interval(secs=F.col("ttl_s")))
+    why = F.when(F.col("there").isNull(), "gone").when(expired, "expired").when(speed < LEAST_SPEEDUP, "too little gain")
+    saving = original - retrieval
+    order = Window.partitionBy("query_id").orderBy(F.desc("saving_us"), F.desc("score"), "cached_id")
+    out = rows.select("query_id", "cached_id", "score", why.isNull().alias("valid"), F.coalesce(why, F.lit("")).alias("why"), speed.alias("speedup"), saving.alias("saving_us"))
+    return out.withColumn("place", F.row_number().over(order))
+
+
+def compatible(cached_tables, cached_columns, tables, columns) -> Column:
+    """Whether a cached schema holds all needed tables and columns."""
+    return (F.size(F.array_except(tables, cached_tables)) == 0) & (F.size(F.array_except(columns, cached_columns)) == 0)
+
+
+def stored(registry: DataFrame, new: DataFrame, now: Column, ttl_s: int = 3600) -> DataFrame:
+    """A registry table with components added: each signature once, the newest entry; those expired at `now` go.
+    registry and new: signature, type, cost; registry also valid_until."""
+    from pyspark.sql import Window
+
+    fresh = new.withColumn("valid_until", now + F.make_dt_interval(secs=F.lit(ttl_s)))
+    newest = Window.partitionBy("signature").orderBy(F.desc("valid_until"), F.desc("cost"))
+    both = registry.where(F.col("valid_until") > now).unionByName(fresh)
+    return both.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+
+
+#: The words a statement may begin with.
+STATEMENT_STARTS = ["SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "DROP", "ALTER", "WITH"]
+
+
+def text_problem(sql: Column, n_tables: Column) -> Column:
+    """What is wrong with a statement's text, or null: rules on the text alone, then that a FROM has brought tables."""
+    up = F.upper(F.trim(sql))
+    starts = F.lit(False)
+    for word in STATEMENT_STARTS:
+        starts = starts | up.startswith(word)
+    return (
+        F.when(up.contains("SYNTAX ERROR"), "syntax error words").when(up.contains("INVALID") & ~up.contains("WHERE"), "invalid").when(~starts, "no statement keyword")
+        .when(up.startswith("SELECT") & up.contains("FROM") & ~up.contains("DUAL") & (F.coalesce(n_tables, F.lit(0)) == 0), "FROM without tables")
+    )
+
+
 class PlanRegistry:
     """Cached DataFrames by Catalyst's semantic hash, with a time to live; expired ones are unpersisted on lookup.
 
-    Spark itself substitutes a cached subtree where it recurs; the registry adds expiry, counts and exact lookup."""
+    Spark itself substitutes a cached subtree where it recurs; the registry adds expiry, counts and exact lookup. A result
+    that Catalyst takes to be larger than `most_bytes` is not kept, and the oldest go once there are `most_entries`; what is
+    kept spills to disk."""
 
-    def __init__(self, spark: SparkSession, ttl_s: float = 3600.0, clock=None):
+    def __init__(self, spark: SparkSession, ttl_s: float = 3600.0, clock=None, most_bytes: int = 1 << 32, most_entries: int = 100):
         import time
 
         self.spark, self.ttl_s, self.clock, self.entries = spark, ttl_s, clock or time.monotonic, {}
+        self.most_bytes, self.most_entries = most_bytes, most_entries
 
-    def put(self, df: DataFrame) -> int:
+    def put(self, df: DataFrame) -> int | None:
+        """The entry's key, or None if the result is too large to keep."""
+        if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > self.most_bytes:
+            return None
         key = df.semanticHash()
+        self.expire()
+        while len(self.entries) >= self.most_entries and key not in self.entries:
+            self.entries.pop(next(iter(self.entries)))[0].unpersist()
         self.entries[key] = (df.persist(), self.clock() + self.ttl_s)
         return key
 

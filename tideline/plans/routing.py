@@ -36,9 +36,14 @@ def route(queries: DataFrame) -> DataFrame:
     return out.withColumn("estimate_ms", F.element_at(sizes, F.col("strategy")))
 
 
-def rolling_metrics(events: DataFrame, now: Column, window: str = "5 minutes", recent: str = "1 minute") -> DataFrame:
+def rolling_metrics(events: DataFrame, now: Column, window: str = "5 minutes", recent: str = "1 minute", most: int = 0, kept: int = 0) -> DataFrame:
     """Over the events (ts, cache_hit, response_us, strategy) of the window before a time: how many, mean response,
-    queries a second, and the hit rate of the most recent part. One row; old events simply fall out of the filter."""
+    queries a second, and the hit rate of the most recent part. One row; old events simply fall out of the filter. Of
+    more than `most` events in the window only the newest `kept` count, as a bounded buffer would keep them (0: all)."""
+    if most:
+        inside = events.where((F.col("ts") > now - F.expr(f"INTERVAL {window}")) & (F.col("ts") <= now))
+        if len(inside.select(F.lit(1)).limit(most + 1).take(most + 1)) > most:
+            events = inside.orderBy(F.desc("ts")).limit(kept)
     age = lambda span: (F.col("ts") > now - F.expr(f"INTERVAL {span}")) & (F.col("ts") <= now)
     seconds = {"minute": 60, "minutes": 60, "hour": 3600, "hours": 3600, "day": 86400, "days": 86400}
     number, unit = window.split()

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideline.plans.dialect import to_spark
 
@@ -44,15 +45,34 @@ class Provider:
             df.createOrReplaceTempView(name)
         return self.spark.sql(to_spark(sql, now), args=params or None)
 
-    def query_json(self, sql: str, now: str | None = None, **params) -> Iterator[str]:
-        """Rows as JSON texts, a partition at a time."""
-        from pyspark.sql import functions as F
-
+    def json_rows(self, sql: str, now: str | None = None, **params) -> DataFrame:
+        """(row): the result's rows as JSON texts, made where the rows are."""
         df = self.query(sql, now, **params)
-        yield from (r[0] for r in df.select(F.to_json(F.struct(*[df[c] for c in df.columns]), {"ignoreNullFields": "false"})).toLocalIterator())
+        return df.select(F.to_json(F.struct(*[df[c] for c in df.columns]), {"ignoreNullFields": "false"}).alias("row"))
+
+    def query_json(self, sql: str, now: str | None = None, **params) -> Iterator[str]:
+        """The same as an iterator, a partition at a time; for results that a client reads."""
+        yield from (r[0] for r in self.json_rows(sql, now, **params).toLocalIterator(prefetchPartitions=True))
 
     def primary_keys(self, table: str) -> list[str]:
-        return list(self.keys.get(table, []))
+        """The declared key, else the first column of whole numbers or text (in the table's order) that has no null and no
+        value twice, a sketch passes over columns that are far from unique."""
+        if table in self.keys:
+            return list(self.keys[table])
+        if table not in self.tables:
+            return []
+        df = self.tables[table]
+        names = [f.name for f in df.schema if f.dataType.simpleString() in ("int", "bigint", "string")]
+        if not names:
+            return []
+        # a column that a sketch takes to be far from unique is not counted exactly
+        rough = df.agg(F.count("*").alias("n"), *[F.approx_count_distinct(c, 0.05).alias(f"d{i}") for i, c in enumerate(names)]).first()
+        for i, c in enumerate(names):
+            if rough["n"] and rough[f"d{i}"] >= 0.7 * rough["n"]:
+                exact = df.groupBy(c).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.count_if(F.col(c).isNull()).alias("nulls")).first()
+                if exact["most"] == 1 and not exact["nulls"]:
+                    return [c]
+        return []
 
     def probe(self, shared_folder: str | None = None) -> list[tuple[str, str, str]]:
         """(check, ok or warn or fail, detail) of what a stream needs before it starts."""

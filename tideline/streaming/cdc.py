@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,25 +78,28 @@ def limited(changes: DataFrame, most: int, policy: str = "block") -> DataFrame:
     return changes.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 
 
-def final_state(changes: DataFrame, key: str, columns: dict[str, str], base: DataFrame | None = None) -> DataFrame:
+def final_state(changes: DataFrame, key: str, columns: dict[str, str], base: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """The rows that a log leaves: key and columns (name to type) by the last change of each key.
 
-    A column's value is the newest that a change names since the key was last inserted or deleted. One aggregation by key
-    with map-side combining (max_by over (lsn, seq)) does it, so a key with very many changes is no hot spot. base: the
-    rows before the log (a snapshot), older than any change."""
+    A column's value is the newest that a change names, unless the key was inserted or deleted after it. Both positions
+    come out of one aggregation by key with map-side combining, so a key with very many changes is no hot spot. base: the
+    rows before the log (a snapshot), older than any change. keys: names of all columns of a composite key, of which
+    `key` is the first."""
+    keys = keys or [key]
     order = F.struct(lsn_number(F.col("commit_lsn")).alias("lsn"), F.col("seq"))
-    rows = changes.where(F.col("operation").isin("insert", "update", "delete")).select(F.get_json_object("keys", f"$.{key}").alias("_key"), "operation", order.alias("_at"), "new")
+    own = [f"_k{i}" for i in range(len(keys))]
+    rows = changes.where(F.col("operation").isin("insert", "update", "delete")).select(*[F.get_json_object("keys", f"$.{k}").alias(o) for k, o in zip(keys, own)], "operation", order.alias("_at"), "new")
     if base is not None:
-        old = base.select(F.col(key).cast("string").alias("_key"), F.lit("insert").alias("operation"), F.struct(F.lit(-1).cast("decimal(20,0)").alias("lsn"), F.lit(0).alias("seq")).alias("_at"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("new"))
+        at = F.struct(F.lit(-1).cast("decimal(20,0)").alias("lsn"), F.lit(0).alias("seq"))
+        old = base.select(*[F.col(k).cast("string").alias(o) for k, o in zip(keys, own)], F.lit("insert").alias("operation"), at.alias("_at"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("new"))
         rows = old.unionByName(rows)
-    # a value counts only if no insert or delete of its key came after it
-    resets = rows.where("operation != 'update'").groupBy("_key").agg(F.max("_at").alias("_reset"))
-    rows = rows.join(resets, "_key", "left").where(F.col("_reset").isNull() | (F.col("_at") >= F.col("_reset")))
     named = {c: F.array_contains(F.coalesce(F.json_object_keys("new"), F.array().cast("array<string>")), c) for c in columns}
-    values = [F.max_by(F.struct(F.get_json_object("new", f"$.{c}").alias("v")), F.when(named[c], F.col("_at"))).alias(c) for c in columns]
-    last = rows.groupBy("_key").agg(F.max_by("operation", "_at").alias("_last"), *values)
+    values = [F.max_by(F.struct(F.get_json_object("new", f"$.{c}").alias("v"), F.col("_at").alias("at")), F.when(named[c], F.col("_at"))).alias(c) for c in columns]
+    reset = F.max(F.when(F.col("operation") != "update", F.col("_at"))).alias("_reset")
+    last = rows.groupBy(*own).agg(F.max_by("operation", "_at").alias("_last"), reset, *values)
+    fresh = lambda c: F.when(F.col("_reset").isNull() | (F.col(f"{c}.at") >= F.col("_reset")), F.col(f"{c}.v"))
     kept = last.where("_last != 'delete'")
-    return kept.select(F.col("_key").alias(key), *[F.col(f"{c}.v").cast(t).alias(c) for c, t in columns.items()])
+    return kept.select(*[F.col(o).alias(k) for k, o in zip(keys, own)], *[fresh(c).cast(t).alias(c) for c, t in columns.items()])
 
 
 class Checkpoint:
@@ -134,35 +138,114 @@ class Checkpoint:
         return self.load(slot) or configured or "0/0"
 
 
+class Slots:
+    """Named cursors over a log, kept as small files in a shared folder: made if absent, found if already there."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def ensure(self, name: str, start: str = "0/0", temporary: bool = False) -> str:
+        """created or exists. A slot that another session makes at the same moment counts as there."""
+        if not name or not name.replace("_", "").isalnum() or name != name.lower():
+            raise ValueError(f"not a slot's name: {name!r}")
+        parse_lsn(start)
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if fs.exists(path):
+            return "exists"
+        row = self.spark.range(1).select(F.lit(name).alias("slot_name"), F.lit(start).alias("start_lsn"), F.lit(temporary).alias("temporary"))
+        try:
+            row.coalesce(1).write.mode("error").parquet(f"{self.path}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            return "exists"
+        return "created"
+
+    def list(self) -> DataFrame:
+        return self.spark.read.schema("slot_name string, start_lsn string, temporary boolean").parquet(f"{self.path}/*")
+
+    def drop(self, name: str) -> bool:
+        """Whether there was such a slot."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 class TableApplier:
     """foreachBatch sink: keeps the log's changes that a table's state still needs, batch after batch.
 
-    The state is a folder of versions; each batch compacts the state with its changes into the next version (state rows
-    are themselves a log of one insert a key). A replayed batch writes its own version again, so delivery at least once
-    gives each change's effect once."""
+    State rows are themselves a log of one insert or delete a key, dealt into `buckets` folders by the key's hash. A batch
+    reads and rewrites only the buckets that it touches; a manifest then names each bucket's newest folder and the last
+    position that the state holds, so position and state are one write (the acknowledgement: `position()` is what a slot
+    may let go of). A replayed batch starts from the manifest before it, so delivery at least once gives each change's
+    effect once. Manifests and folders that neither of the last two manifests names are deleted."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str, columns: dict[str, str]):
-        self.spark, self.path, self.key, self.columns = spark, path.rstrip("/"), key, columns
+    MANIFEST = "bucket int, batch long, lsn string"
+
+    def __init__(self, spark: SparkSession, path: str, key: str, columns: dict[str, str], buckets: int = 16):
+        self.spark, self.path, self.key, self.columns, self.buckets = spark, path.rstrip("/"), key, columns, buckets
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        state = self.changes(batch_id - 1)
-        log = batch.select(*[c.split()[0] for c in CHANGES.split(", ")])
-        if state is not None:
-            log = state.unionByName(log)
-        self._compact(log).write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
+        names = [c.split()[0] for c in CHANGES.split(", ")]
+        bucket = F.pmod(F.xxhash64(F.get_json_object("keys", f"$.{self.key}")), F.lit(self.buckets)).cast("int")
+        log = batch.select(*names).withColumn("bucket", bucket)
+        before = {r["bucket"]: r for r in self._manifest(batch_id - 1)}
+        found = log.groupBy("bucket").agg(F.max(lsn_number(F.col("commit_lsn"))).alias("lsn")).collect()  # a row a bucket at most
+        after = {k: (r["batch"], r["lsn"]) for k, r in before.items()}
+        if found:
+            last = max([int(r["lsn"]) for r in found] + [parse_lsn(r["lsn"]) for r in before.values()])
+            old = [self._folder(r["bucket"], before[r["bucket"]]["batch"]) for r in found if r["bucket"] in before]
+            for path in old:
+                log = log.unionByName(self.spark.read.schema(CHANGES).parquet(path).withColumn("bucket", bucket))
+            self._compact(log).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{batch_id}")
+            after |= {r["bucket"]: (batch_id, "") for r in found}
+            after = {k: (b, format_lsn(last)) for k, (b, _) in after.items()}
+        rows = self.spark.createDataFrame([(k, b, lsn) for k, (b, lsn) in sorted(after.items())], self.MANIFEST)  # a row a bucket
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{batch_id}")
+        self._tidy(batch_id, {b for b, _ in after.values()} | {r["batch"] for r in before.values()})
+
+    def _folder(self, bucket: int, batch: int) -> str:
+        return f"{self.path}/data/{batch}/bucket={bucket}"
+
+    def _files(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), lambda x: self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)
+
+    def _manifest(self, batch_id: int) -> list:
+        fs, path = self._files()
+        if batch_id < 0 or not fs.exists(path(f"{self.path}/manifest/{batch_id}/_SUCCESS")):
+            return []
+        return self.spark.read.schema(self.MANIFEST).parquet(f"{self.path}/manifest/{batch_id}").collect()  # a row a bucket
+
+    def _tidy(self, batch_id: int, needed: set) -> None:
+        fs, path = self._files()
+        for kind, keep in (("manifest", {batch_id, batch_id - 1}), ("data", needed | {batch_id})):
+            if fs.exists(path(f"{self.path}/{kind}")):
+                for status in fs.listStatus(path(f"{self.path}/{kind}")):
+                    name = status.getPath().getName()
+                    if name.isdigit() and int(name) < batch_id and int(name) not in keep:
+                        fs.delete(status.getPath(), True)
 
     def _compact(self, log: DataFrame) -> DataFrame:
         """Per key: a delete or one insert that holds all that is known, at the position of the key's last change."""
         keyed = log.withColumn("_key", F.get_json_object("keys", f"$.{self.key}"))
         at = F.struct(lsn_number(F.col("commit_lsn")).alias("lsn"), F.col("seq"))
-        last = keyed.groupBy("_key").agg(F.max_by(F.struct("commit_lsn", "seq", "table_name", "operation", "commit_time", "keys"), at).alias("c")).select(F.col("_key"), "c.*")
+        last = keyed.groupBy("_key", "bucket").agg(F.max_by(F.struct("commit_lsn", "seq", "table_name", "operation", "commit_time", "keys"), at).alias("c")).select("_key", "bucket", "c.*")
         rows = final_state(log, self.key, dict.fromkeys(self.columns, "string")).withColumnRenamed(self.key, "_key")
         rows = rows.select("_key", F.to_json(F.struct(*self.columns), {"ignoreNullFields": "false"}).alias("new"))
         joined = last.join(rows, "_key", "left").withColumn("operation", F.when(F.col("new").isNull(), "delete").otherwise("insert")).withColumn("old", F.lit(None).cast("string"))
-        return joined.select(*[c.split()[0] for c in CHANGES.split(", ")])
+        return joined.select(*[c.split()[0] for c in CHANGES.split(", ")], "bucket")
+
+    def changes(self, version: int) -> DataFrame:
+        """The state after a batch (one of the last two), as a log."""
+        out = self.spark.createDataFrame([], CHANGES)
+        paths = [self._folder(r["bucket"], r["batch"]) for r in self._manifest(version)]
+        return self.spark.read.schema(CHANGES).parquet(*paths) if paths else out
 
-    def changes(self, version: int) -> DataFrame | None:
-        return self.spark.read.schema(CHANGES).parquet(f"{self.path}/v{version}") if version >= 0 else None
+    def position(self, version: int) -> str:
+        """The last commit position that the state after a batch holds: what the log's owner may be told."""
+        return next((r["lsn"] for r in self._manifest(version)), "0/0")
 
     def table(self, version: int) -> DataFrame:
         return final_state(self.changes(version), self.key, self.columns)

@@ -8,6 +8,9 @@ import threading
 import time
 from collections.abc import Callable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: SQL states and words by which errors are told apart.
 TRANSIENT_STATES = ["08"]
 FATAL_STATES = ["42", "53", "58"]
@@ -51,6 +54,43 @@ def retry_delay(attempt: int, first_s: float = 1.0, most_s: float = 30.0, jitter
     return base + base * 0.5 * jitter()
 
 
+def error_class(text: Column, state: Column) -> Column:
+    """classify() over a table of errors: text and SQL state columns."""
+    low = F.lower(text)
+    words = F.lit(False)
+    for word in TRANSIENT_WORDS:
+        words = words | low.contains(word)
+    missing = low.contains("does not exist")
+    return (
+        F.when(missing & low.contains("replication slot"), "slot_missing").when(missing & low.contains("publication"), "publication_missing")
+        .when(F.substring(state, 1, 2).isin(FATAL_STATES), "fatal").when(F.substring(state, 1, 2).isin(TRANSIENT_STATES) | words, "transient").otherwise("unknown")
+    )
+
+
+class Heartbeat:
+    """Tells the log's owner every `every_s` seconds, and whenever it asks, how far the stream has got.
+
+    send(position) does the telling; a failure of it is counted and tried again at the next tick."""
+
+    def __init__(self, send: Callable[[str], None], every_s: float = 10.0, clock: Callable[[], float] = time.monotonic):
+        self.send, self.every_s, self.clock = send, every_s, clock
+        self.last, self.sent, self.failed = None, 0, 0
+
+    def tick(self, position: str, requested: bool = False) -> bool:
+        """Whether the position was sent now."""
+        now = self.clock()
+        if not requested and self.last is not None and now - self.last < self.every_s:
+            return False
+        try:
+            self.send(position)
+        except OSError:
+            self.failed += 1
+            return False
+        self.last = now
+        self.sent += 1
+        return True
+
+
 class Supervisor:
     """Starts a stream again after transient errors; stop() ends it within a time."""
 
