@@ -125,10 +125,10 @@ def sql_normalize_fingerprint(spark, sf_dir):
 
 
 INTERVALS = {
-    "interval '1 hour'": 3600000000, "'7 days'::interval": 604800000000, '"5 hours"::interval': 18000000000, "make_interval(days => 7, hours => 12)": 648000000000,
-    "PT45M": 2700000000, "'P1DT2H30M'::interval": 95400000000, "interval 'PT2H'": 7200000000, "-1 day 2 hours": -93600000000, "1 day -2 hours": 79200000000, "1.5 hours": 5400000000,
-    "2 weeks": 1209600000000, "3 months": 7776000000000, "1 year 6 mons": 47088000000000, "30 secs": 30000000, "250 milliseconds": 250000, "-P1D": -86400000000,
-    "make_interval(secs => 1.5)": 1500000, "make_interval(invalid => 1)": None, "": None, "hour": None, "1 parsec": None, "make_interval()": None, "P": None,
+    "interval '2 hours'": 7200000000, "'3 days'::interval": 259200000000, '"6 hours"::interval': 21600000000, "make_interval(days => 2, hours => 6)": 194400000000,
+    "PT50M": 3000000000, "'P2DT3H15M'::interval": 184500000000, "interval 'PT4H'": 14400000000, "-2 days 1 hour": -176400000000, "2 days -1 hour": 169200000000, "0.5 hours": 1800000000,
+    "3 weeks": 1814400000000, "2 months": 5184000000000, "2 years 1 mon": 65664000000000, "45 secs": 45000000, "125 milliseconds": 125000, "-P2D": -172800000000,
+    "make_interval(secs => 2.5)": 2500000, "make_interval(moons => 1)": None, "": None, "day": None, "2 parsecs": None, "make_interval()": None, "PT": None,
 }
 
 
