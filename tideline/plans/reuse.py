@@ -27,7 +27,8 @@ COMPONENT = "type:string, signature:string, sql:string, tables:array<string>, co
 
 
 def _signature(kind: str, *context: str) -> str:
-    return f"{kind}_{hashlib.sha256(chr(0).join(context).encode()).hexdigest()[:16]}"
+    """The kind and 8 bytes of a digest."""
+    return f"{kind}_{hashlib.md5(chr(0).join(context).encode(), usedforsecurity=False).hexdigest()[:16]}"
 
 
 def components(sql) -> list[dict]:

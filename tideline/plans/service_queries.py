@@ -502,3 +502,57 @@ def completion_contexts(spark, sf_dir):
         bound, good = completion._bindings(sql, cat)
         rows.append((name, completion.clause_at(sql, len(sql.encode())), ",".join(sorted(f"{q}={t.name}" for q, t in bound)), not good))
     return spark.createDataFrame(rows, "text_id string, clause string, bound string, degraded boolean")
+
+
+# decoded messages
+def _message_log(spark, sf_dir):
+    """Messages made of orders by arithmetic, each a transaction of its own: every order inserted, every third updated with
+    its price not sent, every fifth with its price null, every seventh deleted, and truncates, which count for nothing."""
+    o = read(spark, sf_dir, "orders")
+    key, cell = F.col("o_orderkey"), lambda name, kind, text, oid, is_key=False: F.struct(F.lit(name).alias("name"), F.lit(is_key).alias("is_key"), F.lit(oid).alias("oid"), F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+    none = F.lit(None).cast("string")
+    own = cell("id", "t", key, 20, True)
+    row = lambda status, price: F.array(own, status, price)
+    status, price = cell("status", "t", F.col("o_orderstatus"), 25), cell("price", "t", F.col("o_totalprice").cast("decimal(18,2)"), 1700)
+    changed, unsent, null = cell("status", "t", F.lit("U"), 25), cell("price", "u", none, 1700), cell("price", "n", none, 1700)
+    nothing = F.lit(None).cast(cdc.TUPLE)
+    kinds = [(1, "I", nothing, row(status, price)), (3, "U", nothing, row(changed, unsent)), (5, "U", nothing, row(cell("status", "u", none, 25), null)), (7, "D", F.array(own), nothing), (11, "T", nothing, nothing)]
+    made = [F.when(key % every == 0, F.struct(F.lit(k).alias("phase"), F.lit(action).alias("action"), old.cast(cdc.TUPLE).alias("old"), new.cast(cdc.TUPLE).alias("new"))) for k, (every, action, old, new) in enumerate(kinds)]
+    rows = o.select("o_orderkey", F.explode(F.array_compact(F.array(*made))).alias("m"))
+    lsn = F.concat(F.hex(F.col("m.phase").cast("long") + 1), F.lit("/"), F.hex(key))
+    return rows.select(lsn.alias("commit_lsn"), F.lit(0).alias("seq"), F.lit("public.orders").alias("table_name"), "m.action", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("commit_time"), "m.old", "m.new")
+
+
+@_query("""
+    SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'U' ELSE o_orderstatus END AS status,
+           CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS price FROM orders WHERE o_orderkey % 7 <> 0""")
+def cdc_decode_messages(spark, sf_dir):
+    """Insert, update and delete messages decoded (nulls, columns that were not sent, values by type number) and applied."""
+    state = cdc.final_state(cdc.decoded(_message_log(spark, sf_dir)), "id", {"status": "string", "price": "decimal(18,2)"})
+    return state.select(F.col("id").cast("bigint").alias("id"), "status", F.col("price").cast("double").alias("price"))
+
+
+@_query("""
+    SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 2 = 0 THEN 0.0 ELSE CAST(CAST(l_quantity AS DECIMAL(18,2)) AS DOUBLE) END AS quantity
+    FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber) t WHERE l_linenumber <> 3""")
+def cdc_composite_keys(spark, sf_dir):
+    """A log of rows that two columns identify: all are inserted, those of even orders updated, third lines deleted."""
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    new = [("insert", F.lit(True), F.to_json(F.struct(F.col("l_quantity").cast("decimal(18,2)").alias("quantity")))), ("update", F.col("l_orderkey") % 2 == 0, F.lit('{"quantity":0}')), ("delete", F.col("l_linenumber") == 3, F.lit(None).cast("string"))]
+    made = F.array_compact(F.array(*[F.when(cond, F.struct(F.concat(F.lit(f"{k}/"), F.hex(F.col("l_orderkey"))).alias("commit_lsn"), F.lit(op).alias("operation"), text.alias("new"))) for k, (op, cond, text) in enumerate(new, 1)]))
+    log = rows.select("l_orderkey", "l_linenumber", F.explode(made).alias("c"))
+    log = log.select("c.commit_lsn", F.col("l_linenumber").alias("seq"), F.lit("public.lineitem").alias("table_name"), "c.operation", F.lit(None).cast("timestamp").alias("commit_time"), F.to_json(F.struct("l_orderkey", "l_linenumber")).alias("keys"), F.lit(None).cast("string").alias("old"), "c.new")
+    state = cdc.final_state(log, "l_orderkey", {"quantity": "double"}, keys=["l_orderkey", "l_linenumber"])
+    return state.select(F.col("l_orderkey").cast("bigint").alias("l_orderkey"), F.col("l_linenumber").cast("int").alias("l_linenumber"), "quantity")
+
+
+@_query(_values("text_id:VARCHAR, tbl:VARCHAR, col:VARCHAR, path:VARCHAR, op:VARCHAR, is_text:BOOLEAN", [
+    ("w1", "users", "data", "address.city", "->>", True), ("w2", "events", "props", "a.b", "#>", False), ("w2", "u", "extra", "0.k", "->>", True), ("w3", "t", "doc", "it's", "->", False),
+]))
+def sql_jsonpaths_of_any_text(spark, sf_dir):
+    """JSON paths of a text that parses and of texts that don't."""
+    from tideline.functions.analyze import json_paths_of_text
+
+    texts = [("w1", "SELECT data->'address'->>'city' FROM users"), ("w2", "SELECT props #> '{a,b}', u.extra->0->>'k' FROM events WHERE ) broken"), ("w3", "SELECT doc->'it''s' /* x->'no' */ FROM t GROUP HAVING"), ("w4", "nothing here")]
+    rows = [(name, p["table"], p["column"], ".".join(p["path"]), p["operator"], p["is_text"]) for name, sql in texts for p in json_paths_of_text(sql)]
+    return spark.createDataFrame(rows, "text_id string, tbl string, col string, path string, op string, is_text boolean")

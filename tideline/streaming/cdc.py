@@ -61,6 +61,28 @@ def decode_value(text: Column, oid: Column) -> Column:
     return out
 
 
+#: A decoded log's rows: what happened (I, U, D), and each tuple's columns; kind: n null, u unchanged (not sent), t text.
+TUPLE = "array<struct<name:string, is_key:boolean, oid:int, kind:string, text:string>>"
+MESSAGES = f"commit_lsn string, seq int, table_name string, action string, commit_time timestamp, old {TUPLE}, new {TUPLE}"
+
+
+def tuple_values(columns: Column) -> Column:
+    """A tuple's values by name: null for n, nothing at all for u, else the text in its type's canonical form."""
+    sent = F.filter(columns, lambda c: c["kind"] != "u")
+    return F.map_from_entries(F.transform(sent, lambda c: F.struct(c["name"], F.when(c["kind"] != "n", decode_value(c["text"], c["oid"])))))
+
+
+def decoded(messages: DataFrame) -> DataFrame:
+    """CHANGES of MESSAGES: inserts, updates and deletes; other actions (truncate, type, origin) are passed over. Keys are
+    the columns flagged so: of the new tuple, for a delete of the old one."""
+    names = {"I": "insert", "U": "update", "D": "delete"}
+    operation = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("action"))
+    text = lambda c: F.when(c.isNotNull(), F.to_json(tuple_values(c), {"ignoreNullFields": "false"}))
+    flagged = F.filter(F.when(F.col("action") == "D", F.col("old")).otherwise(F.col("new")), lambda c: c["is_key"])
+    rows = messages.where(F.col("action").isin(*names))
+    return rows.select("commit_lsn", "seq", "table_name", operation.alias("operation"), "commit_time", text(flagged).alias("keys"), text(F.col("old")).alias("old"), F.when(F.col("action") != "D", text(F.col("new"))).alias("new"))
+
+
 def transactions(changes: DataFrame) -> DataFrame:
     """One row a transaction: commit_lsn, lsn, commit_time, number of changes, of each operation, tables touched."""
     kinds = [F.count_if(F.col("operation") == k).alias(f"{k}s") for k in ("insert", "update", "delete")]
