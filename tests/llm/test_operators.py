@@ -84,14 +84,15 @@ def test_line_dedup(spark):
     lines = line_dedup.different_lines(spark.createDataFrame(docs, "id long, text string"))
     lines.cache()
     prints = {x["norm"]: x["fp"] % 2**64 for x in lines.join(line_dedup.fingerprints(lines), "lid").collect()}
-    hashes = {x["w"]: x["h"] % 2**64 for x in spark.createDataFrame([(w,) for w in {w for u in prints for w in u.split(" ")}], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    runs = lambda u: list(zip(u.split(" "), [*u.split(" ")[1:], None]))
+    hashes = {(x["a"], x["b"]): x["h"] % 2**64 for x in spark.createDataFrame(sorted({r for u in prints for r in runs(u)}, key=str), "a string, b string").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
     norm = lambda line: line.lower().strip(" ")
     assert set(prints) == {norm(x) for i, t in docs if i is not None and t is not None for x in t.split("\n")} - {""}
     for u, fp in prints.items():
-        different = set(u.split(" "))
-        assert fp == sum(1 << b for b in range(64) if 2 * sum(hashes[w] >> b & 1 for w in different) > len(different))
+        own = [hashes[r] for r in runs(u)]
+        assert fp == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own))
 
-    keys = {x["norm"]: set(x["sketch"]) for x in lines.join(line_dedup.sketches(lines), "lid").collect()}
+    keys = {x["norm"]: set(x["sketch"]) for x in lines.join(line_dedup.fingerprints(lines), "lid").collect()}
     radius = lambda k: line_dedup.BITS["runs" if k < 0 else "words" if k < 1 << 62 else "chars"]
 
     def alike(a, b):
@@ -130,9 +131,13 @@ def test_edit_similarity(spark):
         x, y = " ".join(w), " ".join(v)
         if x != y and x.strip() and y.strip():
             pairs.append((x, y))
-    df = spark.createDataFrame(pairs, "x string, y string").select("x", "y", line_dedup.similar("x", "y").alias("s"))
+    pairs += [(" ".join(w), " ".join(v)) for w in (t.split(" ") for t in prose(14, 200, most=150)) for v in [[r.choice([x, x, x, x, "zz", ""]) for x in w]] if v != w]
+    code = lambda c: [x.alias(f"{c}_{n}") for x, n in zip(line_dedup.coded(c), ("code", "widest"))]
+    df = spark.createDataFrame(pairs, "x string, y string").select("x", "y", *code("x"), *code("y"))
+    df = df.select("*", F.length("x").alias("m"), F.length("y").alias("n")).select("x", "y", line_dedup.similar("x", "y").alias("s"), line_dedup.surely("m", "n", "x_code", "y_code", "x_widest", "y_widest").alias("sure"))
     for row in df.collect():
         assert row["s"] == (plain.levenshtein(row["x"], row["y"]) <= int(round(max(len(row["x"]), len(row["y"])) * 0.2, 6))), row
+        assert row["s"] or not row["sure"], row
 
 
 @pytest.mark.parametrize("least, most, changes", [(8, 12, 1), (21, 40, 1), (81, 160, 1), (100, 160, 12)])
@@ -178,7 +183,7 @@ def test_line_dedup_of_an_empty_table(spark):
 
 def test_lines_of_one_list_that_hubs_do_not_connect(spark, monkeypatch):
     """Lines that are near each other but not near the list's ends are found by the second step."""
-    prints = [(0, 0), (1, (1 << 30) - 1), (2, (1 << 29) - 1), (3, ((1 << 30) - 1) << 30), (4, ((1 << 20) - 1) << 43)]
+    prints = [(0, 0), (1, (1 << 30) - 1), (2, (1 << 29) - 1), (3, ((1 << 30) - 1) << 30), (4, ((1 << 23) - 1) << 40)]
     df = spark.createDataFrame([(i, fp, 100, [-7]) for i, fp in prints], "lid long, fp long, length int, sketch array<long>")
     want = [(a, b) for a, x in prints for b, y in prints if a < b and (x ^ y).bit_count() <= line_dedup.BITS["runs"]]
     assert want == [(1, 2), (3, 4)]
@@ -256,9 +261,9 @@ def test_keep_first_by_similarity(spark):
     group = plain.components(ids, edges)
     prints = {i: plain.simhash(t, 5) for i, t in docs}
     assert sum((prints[a] ^ prints[b]).bit_count() > 3 for a, b in edges) > 10
-    kept = simhash_neardup.keep_first(table(spark, [*docs, (None, texts[0])]), similarity=0.8)
+    kept = simhash_neardup.keep_first(table(spark, [*docs, (None, texts[0])]), by_similarity=True)
     assert sorted((x["doc_id"] for x in kept.collect()), key=str) == sorted([*set(group.values()), None], key=str)
-    assert simhash_neardup.keep_first(spark.createDataFrame([], DOCS), similarity=0.8).count() == 0
+    assert simhash_neardup.keep_first(spark.createDataFrame([], DOCS), by_similarity=True).count() == 0
 
 
 def test_long_chains_and_stars(spark):
@@ -305,6 +310,10 @@ def test_url_digests_that_collide(spark, monkeypatch, tmp_path):
         assert (bytes(rules.text[rules.at[k] : rules.at[k + 1]]).decode() if k >= 0 else None) == rule
 
 
+def test_url_filter_of_an_empty_table(spark):
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), Q.URL_RULES).count() == 0
+
+
 def test_bad_verdicts_are_refused(tmp_path):
     with pytest.raises(ValueError):
         url_filter.write_rules([("com", "/", "maybe")], str(tmp_path / "r"))
@@ -686,6 +695,34 @@ def test_other_tokenizer_files_encode_whole_texts(tmp_path):
     assert ids.tolist() == [0, 1, 2, 0] and bounds.tolist() == [0, 2, 2, 4, 4]
 
 
+def test_very_long_texts(spark):
+    """A text of 400,000 characters, twice, beside short ones, through every operator."""
+    r = random.Random(71)
+    words = [f"{w}{r.randrange(10**6)}" for w in prose(72, 1, most=400)[0].split()]
+    long = " ".join(r.choice(words) if k % 50 else "word" + str(k) for k in range(50_000))
+    assert len(long) > 400_000
+    docs = spark.createDataFrame([(1, long), (2, long), (3, "a short text"), (4, None)], DOCS)
+    n = len(plain.words(long))
+    found = {x["id"]: x for x in decontamination.inspect(docs, spark.createDataFrame([(9, " ".join(long.split()[20_000:20_030]))], "item_id long, text string")).collect()}
+    assert found[1]["n_words"] == n and found[1]["n_hit"] >= 30 and found[1]["matches"][0]["words"] == 30 and found[3]["n_hit"] == 0
+    assert {x["doc_id"]: x["n_removed"] for x in line_dedup.deduplicate(docs).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
+    assert {x["id"]: x["component"] for x in simhash_neardup.groups(docs, shingle=3).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {x["id"]: (x["n_removed"], x["n_bytes"]) for x in suffix_dedup.deduplicate(docs).collect()} == {1: (0, len(long)), 2: (len(long), len(long)), 3: (0, 12), 4: (0, 0)}
+    judged = {x["id"]: x for x in repetition_rules.judge(docs).collect()}
+    assert judged[1]["n_words"] == judged[2]["n_words"] == 50_000 and judged[1]["longest_repeat"] == judged[2]["longest_repeat"]
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    size = len(Tokenizer.from_file(P.path("word_bpe_49k.json")).encode(long, add_special_tokens=False).ids) + 1
+    packed = packing.pack(docs, P.path("word_bpe_49k.json")).groupBy("id").agg(F.sum("length").alias("n")).collect()
+    assert {x["id"]: x["n"] for x in packed}[1] == size
+    rows = [(t, k % 2) for k, t in enumerate(prose(73, 20))]
+    quality, kn, tongue = quality_mil.fit(rows, epochs=1), toxicity_kn.fit(rows, _lookup([t for t, _ in rows])), language_id.fit([(t, "ab"[v]) for t, v in rows], buckets=64, width=4)
+    for scored in (quality_mil.score(docs, quality), toxicity_kn.score(docs, kn), language_id.identify(docs, tongue)):
+        by = {x["id"]: x["score"] for x in scored.collect()}
+        assert by[1] == by[2] and all(0 <= v <= 1 for v in by.values())
+
+
 # helpers
 def test_lookup_is_exact():
     r = np.random.default_rng(0)
@@ -701,6 +738,66 @@ def test_column_names_that_differ_in_case(spark):
     assert language_id.identify(df, None).count() == 1
 
 
+def test_labelled_sample_is_bounded(spark):
+    """An id that is repeated counts once; of too many labels the most frequent stay, of as many the first by name."""
+    rows = [(1, f"text {k % 50:02}", "x") for k in range(20_000)] + [(2, "b", "x"), (3, "c", "y"), (4, "d", "z"), (None, "e", "z"), (5, None, "z"), (6, "f", None)]
+    df = spark.createDataFrame(rows, "id long, text string, label string").repartition(4)
+    assert sorted(map(tuple, _common.labelled_sample(df, 10, 1 << 20, "label"))) == [(1, "text 00", "x"), (2, "b", "x"), (3, "c", "y"), (4, "d", "z")]
+    assert {r["label"] for r in _common.labelled_sample(df, 10, 1 << 20, "label", most_labels=2)} == {"x", "y"}
+    assert len(_common.labelled_sample(df, 1, 1 << 20, "label")) == 3 and _common.labelled_sample(df.limit(0), 10, 1 << 20, "label") == []
+
+
+def test_quality_gradients():
+    """The backward pass against finite differences, over bags of several passages."""
+    r = np.random.default_rng(5)
+    bags, y = np.array([1, 3, 2]), np.array([1.0, 0.0, 1.0])
+    x = r.normal(size=(6, quality_mil.FEATURES))
+    p = {"W": r.normal(0, 0.3, (quality_mil.FEATURES, 4)), "w0": r.normal(size=4), "V": r.normal(size=(4, 3)), "U": r.normal(size=(4, 3)), "a": r.normal(size=3), "c": r.normal(size=4), "c0": np.array(0.2)}
+
+    def loss(q):
+        prob = quality_mil._forward(q, x, bags)[0]
+        return -(y * np.log(prob) + (1 - y) * np.log(1 - prob)).mean()
+
+    grad = quality_mil.gradients(p, x, bags, y)
+    for name, value in p.items():
+        for at in list(np.ndindex(value.shape))[:: max(1, value.size // 12)]:
+            near = []
+            for step in (1e-5, -1e-5):
+                q = dict(p)
+                q[name] = value.copy()
+                q[name][at] += step
+                near.append(loss(q))
+            assert abs((near[0] - near[1]) / 2e-5 - grad[name][at]) < 1e-6, (name, at)
+
+
+def test_quality_scores_against_a_plain_bag(spark):
+    """Each text alone, passage by passage, attention worked out by hand, gives the score of the whole batch."""
+    texts = prose(61, 30, most=300) + ["", "a"]
+    model = quality_mil.fit([(t, k % 2) for k, t in enumerate(texts)], epochs=2)
+    got = model.score(*quality_mil.encode(*_bytes.texts(pa.array(texts, pa.string()))))
+    q = model.weights
+    for t, score in zip(texts, got):
+        x, bags = quality_mil.encode(*_bytes.texts(pa.array([t], pa.string())))
+        assert bags[0] == max(1, -(-len(t.split()) // quality_mil.PASSAGE))
+        h = [np.tanh((row - model.mean) / model.scale @ q["W"] + q["w0"]) for row in x]
+        s = np.array([(np.tanh(v @ q["V"]) / (1 + np.exp(-(v @ q["U"])))) @ q["a"] for v in h])
+        w = np.exp(s) / np.exp(s).sum()
+        assert abs(1 / (1 + np.exp(-(sum(a * v for a, v in zip(w, h)) @ q["c"] + q["c0"]))) - score) < 1e-9
+
+
+def test_language_scores_against_a_plain_mean():
+    """The mean of a text's subwords' weights, worked out window by window."""
+    texts = ["Äpfel und Birnen", "un été à la mer", "x", "12 a1b", "AbC abc"]
+    model = language_id.fit([(t, "ab"[k % 2]) for k, t in enumerate(texts * 4)], buckets=64, width=4)
+    buf, offsets = _bytes.texts(pa.array(texts, pa.string()))
+    got = language_id.logits(model, buf, offsets)
+    for k, t in enumerate(texts):
+        data = t.encode()
+        counts = [int(b) for at, found in language_id.subwords(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 64) for b in found]
+        want = model.weights[counts].astype(float).mean(axis=0) + model.bias if counts else model.bias
+        assert np.allclose(got[k], want)
+
+
 def test_labelled_sample_takes_every_label(spark):
     rows = [(k, f"text {k}", f"l{k % 1100:04}") for k in range(3300)]
     got = _common.labelled_sample(spark.createDataFrame(rows, "id long, text string, label string").repartition(5), 2, 1 << 20, "label")
