@@ -76,16 +76,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled_sample(docs: DataFrame, rows: int, max_bytes: int, strata: str) -> list:
-    """A bounded, deterministic sample (id, text, label): up to `rows` rows of each label, `max_bytes` of text in all.
+def labelled_sample(docs: DataFrame, rows: int, max_bytes: int, strata: str, most_labels: int = 10_000) -> list:
+    """A bounded, deterministic sample (id, text, label): up to `rows` ids of each label, `max_bytes` of text in all, of the
+    `most_labels` labels with the most ids (of as many, the first by name).
 
-    docs has id, text and label (nulls in any are passed over). Rows are taken in the order of a hash of their id,
-    in all labels there are. Only ids and lengths are ranked; texts are read for the chosen ids alone.
+    docs has id, text and label (nulls in any are passed over). Ids are taken in the order of their hash, each once,
+    however often it is repeated (of its texts the first in order counts). Only ids and lengths are ranked; texts are read
+    for the chosen ids alone.
     """
     known = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col(strata).isNotNull())
-    sized = known.select("id", strata, F.octet_length("text").alias("n"), F.xxhash64("id").alias("h"))
+    sized = known.groupBy("id", strata).agg(F.max(F.octet_length("text")).alias("n")).withColumn("h", F.xxhash64("id"))
+    top = sized.groupBy(strata).agg(F.count("*").alias("ids")).orderBy(F.desc("ids"), strata).limit(most_labels).select(strata)
     rank = F.row_number().over(Window.partitionBy(strata).orderBy("h", "id"))
-    chosen = sized.withColumn("rank", rank).where(F.col("rank") <= rows).collect()  # at most rows x labels ids and lengths
+    ranked = sized.withColumn("rank", rank).where(F.col("rank") <= rows).join(F.broadcast(top), strata, "left_semi")
+    chosen = ranked.collect()  # at most rows x most_labels ids and lengths
     chosen.sort(key=lambda r: (r["h"], r["id"]))
     total, ids = 0, {}
     for r in chosen:
@@ -97,8 +101,5 @@ def labelled_sample(docs: DataFrame, rows: int, max_bytes: int, strata: str) ->
         return []
     spark = docs.sparkSession
     few = spark.createDataFrame([(k,) for k in ids], known.select("id").schema)  # at most rows x labels ids
-    got = known.join(F.broadcast(few), "id", "left_semi").select("id", "text", strata).collect()
-    seen = {}
-    for r in sorted(got, key=lambda r: (r["id"], r["text"], r[strata])):
-        seen.setdefault(r["id"], r)
-    return list(seen.values())
+    one = known.join(F.broadcast(few), "id", "left_semi").groupBy("id").agg(F.min(F.struct("text", strata)).alias("first")).select("id", "first.*")
+    return sorted(one.collect(), key=lambda r: r["id"])  # a row an id

@@ -9,9 +9,12 @@ with 5 matches or more are kept and verified bit by bit. Equal fingerprints are
 A list of more than `BLOCK` entries is dealt into blocks, and each pair of blocks is a task's work of its own, so no
 list, however hot, lands in one task. Of a list's links only those that connect something new are passed on.
 
-With a similarity given, `keep_first` links by the Jaccard similarity of the shingles instead, which few bits of SimHash
-don't reach (0.8 is about 10 of 64): two sets of that similarity share one of the n - ceil(similarity * n) + 1 smallest
-hashes of each, so a posting under each of those finds every such pair; pairs are verified on the whole sets.
+By similarity, `keep_first` links documents whose sets of shingles have a Jaccard similarity of `SIMILARITY` or more. That
+is about 10 of 64 bits, which positional bytes can't reach (5 of 8 equal bytes would ask for 3), so documents are posted
+under the `SKETCH` smallest hashes of their shingles: sets of similarity 0.8 share none of 6 with a chance of 0.2 ** 6, under
+one in ten thousand. Documents that share a posting, of sizes that allow the similarity and fingerprints within `RADIUS`
+bits, are verified on their whole sets. In a list of more than two each first meets the list's ends, and then only what
+these don't connect, so a group of alike documents costs no more than its postings.
 
 Cases: null and empty texts, and texts without a word, have the fingerprint zero and are linked like any others. A null
 id has a fingerprint, no links of its own, and its fingerprint's component if another row has it, else null. Rows that
@@ -20,8 +23,6 @@ repeat an id count as one document. An empty table gives an empty table. Other c
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _bytes as B
+from tideline.llm import line_dedup
 from tideline.llm._common import discard, pick, place, save
 from tideline.llm.components import connected_components
 
@@ -36,6 +38,7 @@ BITS = 3
 MATCHES = 5
 BLOCK = 1024
 SEED = 42
+SIMILARITY, SKETCH, RADIUS, FEW = 0.8, 6, 22, 32
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +61,11 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.nda
 
 def simhash(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
     """Fingerprint of each text: bit k is 1 if over half of the hashes of its shingles, repeats included, have it."""
-    h, count = shingles(buf, offsets, shingle)
+    return _majority(*shingles(buf, offsets, shingle))
+
+
+def _majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of each group of hashes, the bits that over half of them have."""
     n = count
     # sums of 4 bits at a time in fields of 16 bits, over at most 60,000 shingles
     doc = np.repeat(np.arange(len(n)), count)
@@ -88,7 +95,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _links(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside each group (rows of a group stand together): a forest that connects all that are within BITS."""
+    """Links inside each group (rows of a group stand together): a forest that connects all that are within BITS.
+
+    Pairs that meet are tallied over the 8 postings of each (its byte at every place); only those that reach MATCHES are
+    verified bit by bit."""
+    postings = np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8)
     root = np.arange(len(fp))
     parent = root.copy()
 
@@ -105,9 +116,9 @@ def _links(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         here = here[here + step < len(fp)]
         here = here[group[here] == group[here + step]]
         apart = here[root[here] != root[here + step]]
-        x = fp[apart] ^ fp[apart + step]
-        apart, x = (y[(x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= MATCHES] for y in (apart, x))  # the tally
-        apart = apart[np.bitwise_count(x) <= BITS]
+        shared = (postings[apart] == postings[apart + step]).sum(axis=1)
+        apart = apart[shared >= MATCHES]
+        apart = apart[np.bitwise_count(fp[apart] ^ fp[apart + step]) <= BITS]
         for a in apart.tolist():
             p, q = find(a), find(a + step)
             if p != q:
@@ -192,51 +203,71 @@ def _sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
     return out
 
 
-def alike(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+def _fits(x, m, n):
+    """Whether two shingle sets, of which these are the fingerprints' xor and the sizes, may be similar; few shingles leave
+    a fingerprint to chance."""
+    m, n = F.col(m), F.col(n)
+    return (F.least(m, n) >= F.greatest(m, n) * SIMILARITY - 1e-6) & ((F.bit_count(x) <= RADIUS) | (F.least(m, n) < FEW))
+
+
+def alike(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """id and component (the smallest id it reaches) of each row with an id, linked by the shingles' Jaccard similarity."""
     data = pick(docs, id=id_col, text=text_col).where("id is not null")
     kind = data.schema["id"].dataType.simpleString()
 
     def mark(batches):
         for batch in batches:
-            sets = _sets(batch.column(1), shingle)
-            whole = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-            first = [x[: len(x) - math.ceil(round(similarity * len(x), 9)) + 1].view(np.int64) for x in sets]
+            whole, fp, size, first = [], [], [], []
+            buf, offsets = B.texts(batch.column(1))
+            for i, j in B.chunks(offsets, 1 << 21):
+                h, count = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
+                fp.append(_majority(h, count))
+                for x in np.split(h, np.cumsum(count)[:-1]):
+                    x = np.unique(x)
+                    whole.append(xxhash.xxh3_128_digest(x.tobytes()))
+                    size.append(len(x))
+                    first.append(x[:SKETCH].view(np.int64))
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in first]))), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), keys], ["id", "whole", "n", "keys"])
-
-    marked = save(data.mapInArrow(mark, f"id {kind}, whole binary, n long, keys array<long>"), "marked")
-    reps = marked.groupBy("whole").agg(F.min("id").alias("id"))
-    posted = marked.join(reps, ["whole", "id"], "left_semi").select("id", "n", F.explode("keys").alias("key"))
-    sides = [posted.select("key", F.col("id").alias(x), F.col("n").alias(f"{x}_n")) for x in "ab"]
-    least = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - 1e-6
-    pairs = save(sides[0].join(sides[1], "key").where((F.col("a") < F.col("b")) & least).select("a", "b").distinct(), "pairs")
-    some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = save(data.join(some, "id", "left_semi").distinct(), "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary()), pa.array(np.concatenate([np.zeros(0, np.uint64), *fp]).view(np.int64)), pa.array(size, pa.int64()), keys], ["id", "whole", "fp", "length", "sketch"])
+
+    marked = save(data.mapInArrow(mark, f"id {kind}, whole binary, fp long, length long, sketch array<long>"), "marked")
+    # rows of one set are linked to its smallest id, and only that meets others
+    reps = save(marked.groupBy("whole").agg(F.min("id").alias("lid"), F.first("fp").alias("fp"), F.first("length").alias("length"), F.first("sketch").alias("sketch")), "sets")
+    lists = save(line_dedup.key_lists(reps), "lists")
 
     def verify(batches):
         for batch in batches:
             sets = [_sets(batch.column(c), shingle) for c in (2, 3)]
             common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets)]
-            good = [c >= similarity * (len(x) + len(y) - c) - 1e-9 for c, x, y in zip(common, *sets)]
+            good = [c >= SIMILARITY * (len(x) + len(y) - c) - 1e-9 for c, x, y in zip(common, *sets)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    links = both.select("a", "b", "x", "y").repartition("a", "b").mapInArrow(verify, f"a {kind}, b {kind}")
-    # rows of one set are linked to its smallest id
-    equal = marked.join(reps.select("whole", F.col("id").alias("rep")), "whole").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    edges = save(links.unionByName(equal).distinct(), "links")
-    joined = connected_components(edges)
-    out = marked.select("id").join(joined, marked["id"] == joined["node"], "left").select("id", F.coalesce("component", "id").alias("component"))
-    for df in (pairs, texts, edges):
+    def verified(pairs):
+        pairs = save(pairs, "pairs")
+        some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        texts = save(data.join(some, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+        out = save(both.select("a", "b", "x", "y").mapInArrow(verify, f"a {kind}, b {kind}"), "verified")
+        discard(pairs)
+        discard(texts)
+        return out
+
+    linked = verified(line_dedup.hub_pairs(reps, lists, _fits))
+    joined = save(connected_components(linked), "joined")
+    more = verified(line_dedup.other_pairs(reps, lists, joined, _fits))
+    edges = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    edges = edges.unionByName(marked.join(reps.select("whole", "lid"), "whole").where("id != lid").select(F.col("lid").alias("a"), F.col("id").alias("b")))
+    found = connected_components(edges)
+    out = marked.select("id").join(found, marked["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("component"))
+    for df in (reps, lists, linked, joined, more):
         discard(df)
     return out
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float | None = None) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, by_similarity: bool = False) -> DataFrame:
     """docs with one document of each group, that with the smallest id; all columns as they were. Rows that repeat the
     kept id stay, as do rows with a null id. Groups are those of the fingerprints, or of the shingles' similarity."""
-    found = alike(docs, id_col, text_col, shingle, similarity) if similarity else groups(docs, id_col, text_col, shingle)
+    found = alike(docs, id_col, text_col, shingle) if by_similarity else groups(docs, id_col, text_col, shingle)
     gone = found.where(F.col("id") != F.col("component")).select(F.col("id").alias("gone")).distinct()
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])

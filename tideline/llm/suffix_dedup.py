@@ -21,6 +21,9 @@ given short documents, and only those where something is to be decided, which th
 Units are documents by hash, a few MB each; spans travel in one packed row for each unit and bucket of hashes, and the
 answer is a byte for each span sent. Shuffles that are no longer read are given back before the next step.
 
+Equal spans are told by 128 bits (64 of the minimiser, 64 of the span) without comparing bytes: both hashes are polynomials
+modulo 2 ** 64, and the strings known to confuse such (2,048 bytes and more) are longer than any span.
+
 Cases: ids are integers; null text is empty; rows with a null id lose nothing and count for no other row; rows that
 repeat an id are one document, so they lose nothing to each other. Texts shorter than `length` bytes lose nothing. An
 empty table gives an empty table. Other columns are not read.
