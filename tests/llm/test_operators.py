@@ -724,6 +724,17 @@ def test_very_long_texts(spark):
 
 
 # helpers
+def test_temporary_tables_go_at_the_end_of_a_block(spark):
+    import os
+
+    with _common.temporary(spark):
+        kept = line_dedup.deduplicate(spark.createDataFrame([(1, "a b c\na b c")], DOCS)).collect()
+        made = _common.save(spark.range(3), "some")
+        path = made._tideline_path.removeprefix("file://")
+        assert made.count() == 3 and os.path.exists(path)
+    assert kept[0]["text"] == "a b c" and not os.path.exists(path) and not _common._open
+
+
 def test_lookup_is_exact():
     r = np.random.default_rng(0)
     keys = np.unique(r.integers(0, 2**63, 5000).astype(np.uint64)) & ~np.uint64(0xFFF)

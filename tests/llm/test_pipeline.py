@@ -69,6 +69,18 @@ def test_url_query_matches_its_sql(spark, sf_dir):
     assert sorted(map(tuple, got.collect())) == sorted(found.fetchall())
 
 
+@pytest.mark.parametrize("name", ["op1_suffix_array_decontamination", "op6_columnwise_suffix_dedup", "op9_repetition_rules"])
+def test_queries_match_their_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    found = con.execute(Q.ORACLES[name])
+    names = [c[0] for c in found.description]
+    got = Q.QUERIES[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(found.fetchall())
+
+
 @pytest.mark.parametrize("name", ["op1_suffix_array_decontamination", "op6_columnwise_suffix_dedup"])
 def test_queries_over_a_shared_table(spark, sf_dir, name):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def scratch() -> str:
+    """A folder on the driver's own disk that goes when the driver ends."""
+    folder = tempfile.mkdtemp(prefix="tideline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
@@ -22,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.master.startswith("local[") and context.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not getattr(context, "_tideline_folder", None):
-        context._tideline_folder = tempfile.mkdtemp(prefix="tideline-")
+        context._tideline_folder = scratch()
     return "file://" + context._tideline_folder
 
 
@@ -34,6 +44,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._tideline_path = path
+    for paths in _open:
+        paths.append(path)
     return out
 
 
@@ -41,9 +53,26 @@ def discard(df: DataFrame) -> None:
     """Delete what save() wrote, once nothing reads it any more."""
     path = getattr(df, "_tideline_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """What the operators write to the shared folder inside the block is deleted at its end; write results before that."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
 
 
 def place(names: list[str], name: str) -> int:

@@ -7,18 +7,18 @@ of that host's rules. Every hit is confirmed against the stored string, so a col
 longest rule (bytes of host and path) wins; of equally long ones that with the longer host, then block.
 
 The file goes to the executors through Spark's file server and is mapped there, not loaded, so a list of any size takes
-no more memory than the pages it touches.
+no more of their memory than the pages it touches. The driver sorts the list once, in memory, to write the file.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path: from there up to `?`, `#` or the end.
 Cases: null, empty or without `://`: both empty, no rule, the default verdict. Repeated rows are judged alike, one row
-each; an empty table gives an empty table; an empty rule list gives the default verdict; other columns are not read.
+each; an empty table gives an empty table; an empty rule list gives the default verdict; other columns are not read. A very
+long url is judged whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -29,7 +29,7 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from tideline.llm._common import pick
+from tideline.llm._common import pick, scratch
 
 
 def _digest(data: bytes) -> int:
@@ -140,7 +140,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], id_col: str =
     """id, host, path, rule (host and path of the winning rule, or null) and verdict for every row."""
     data = pick(pages, id=id_col, url=url_col)
     name = f"rules-{uuid.uuid4().hex}"
-    path = os.path.join(tempfile.mkdtemp(prefix="tideline-"), name)
+    path = os.path.join(scratch(), name)
     write_rules(rules, path)
     data.sparkSession.sparkContext.addFile(path)
 
