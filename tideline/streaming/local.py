@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,7 +18,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not root:
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tideline-")
+        folder = tempfile.mkdtemp(prefix="tideline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
