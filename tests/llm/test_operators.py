@@ -195,6 +195,36 @@ def test_lines_of_one_list_that_hubs_do_not_connect(spark, monkeypatch):
         assert sorted(map(tuple, both.collect())) == want
 
 
+def test_line_dedup_keeps_no_tables_but_its_result(spark):
+    """What the steps save goes again; only the groups stay, which the result reads."""
+    import os
+
+    rows = [(k, "\n".join(prose(60 + k % 7, 3, most=60))) for k in range(30)]
+    folder = _common.shared_folder(spark).removeprefix("file://") + "/tideline"
+    os.makedirs(folder, exist_ok=True)
+    before = set(os.listdir(folder))
+    assert line_dedup.deduplicate(spark.createDataFrame(rows, DOCS)).count() == 30
+    assert {n.split("-")[0] for n in set(os.listdir(folder)) - before} <= {"groups"}
+
+
+def test_nearest_candidates_come_first(spark):
+    """All candidates are settled, but pairs of lines that others have joined by then are not verified."""
+    nodes = range(40)  # a line of nodes: neighbours are alike, the others are candidates only
+    rows = [(a, b, b - a) for a in nodes for b in nodes if a < b] + [(a, 100, 15) for a in nodes]
+    verified = []
+
+    def verify(pairs):
+        got = [tuple(x) for x in pairs.collect()]
+        verified.extend(got)
+        return _common.save(spark.createDataFrame([(a, b) for a, b in got if b - a == 1 or (a, b) == (3, 100)], "a long, b long"), "good")
+
+    labels = _common.save(spark.createDataFrame([(200, 200), (201, 200), (39, 39), (300, 39)], "node long, component long"), "labels")
+    found = line_dedup.settled(_common.save(spark.createDataFrame(rows, "a long, b long, apart int"), "found"), labels, verify)
+    got = {x["node"]: x["component"] for x in found.collect()}
+    assert got == {n: 0 for n in [*nodes, 100, 300]} | {200: 200, 201: 200}
+    assert len(verified) == len(set(verified)) <= 80 < len(rows)
+
+
 @pytest.mark.parametrize("least, most", [(2, 6), (40, 90)])
 def test_line_dedup_finds_lines_without_spaces(spark, least, most):
     """Lines of one long word with some letters changed."""
