@@ -296,6 +296,33 @@ def test_keep_first_by_similarity(spark):
     assert simhash_neardup.keep_first(spark.createDataFrame([], DOCS), by_similarity=True).count() == 0
 
 
+def test_keep_first_by_similarity_asks_the_positional_index(spark, monkeypatch):
+    """Pairs within 3 bits come from the index: with the lists of smallest hashes taken away they are still found."""
+    words = prose(23, 1, vocabulary=3000, most=4)[0].split() + [f"w{k}" for k in range(1500)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words, "tail"])), (3, " ".join(prose(24, 1)))]
+    assert 0 < (plain.simhash(docs[0][1], 5) ^ plain.simhash(docs[1][1], 5)).bit_count() <= 3
+    none = lambda prints, *_: prints.select(prints["lid"].alias("a"), prints["lid"].alias("b")).where("false")
+    monkeypatch.setattr(line_dedup, "hub_pairs", none)
+    monkeypatch.setattr(line_dedup, "key_lists", lambda prints: prints.selectExpr("lid key", "3L n").where("false"))
+    assert sorted(x["doc_id"] for x in simhash_neardup.keep_first(spark.createDataFrame(docs, DOCS), by_similarity=True).collect()) == [1, 3]
+
+
+def test_parities_pass_every_similar_pair(spark):
+    """Sets of Jaccard similarity 0.8 and more pass the bound by parities; most others don't."""
+    r = np.random.default_rng(3)
+    rows, alike = [], []
+    for n in (1, 5, 40, 300, 1500):
+        for changed in (0.0, 0.05, 0.1, 0.11, 0.5, 0.9):
+            x = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+            y = np.unique(np.concatenate((x[int(changed * len(x)) :], r.integers(0, 2**63, int(changed * len(x))).astype(np.uint64))))
+            rows.append((simhash_neardup._odd(x).tolist(), simhash_neardup._odd(y).tolist(), len(x), len(y)))
+            common = len(np.intersect1d(x, y))
+            alike.append(common >= 0.8 * (len(x) + len(y) - common))
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "k int, x array<long>, y array<long>, m long, n long")
+    got = [x["s"] for x in df.select("k", simhash_neardup._may_be_alike("x", "y", "m", "n").alias("s")).orderBy("k").collect()]
+    assert all(s for s, same in zip(got, alike) if same) and sum(not s for s, same in zip(got, alike) if not same) >= 6
+
+
 def test_long_chains_and_stars(spark):
     chain = [(k, k + 1) for k in range(300)]
     star = [(1000, 1001 + k) for k in range(500)]

@@ -9,12 +9,15 @@ with 5 matches or more are kept and verified bit by bit. Equal fingerprints are
 A list of more than `BLOCK` entries is dealt into blocks, and each pair of blocks is a task's work of its own, so no
 list, however hot, lands in one task. Of a list's links only those that connect something new are passed on.
 
-By similarity, `keep_first` links documents whose sets of shingles have a Jaccard similarity of `SIMILARITY` or more. That
-is about 10 of 64 bits, which positional bytes can't reach (5 of 8 equal bytes would ask for 3), so documents are posted
-under the `SKETCH` smallest hashes of their shingles: sets of similarity 0.8 share none of 6 with a chance of 0.2 ** 6, under
-one in ten thousand. Documents that share a posting, of sizes that allow the similarity and fingerprints within `RADIUS`
-bits, are verified on their whole sets. In a list of more than two each first meets the list's ends, and then only what
-these don't connect, so a group of alike documents costs no more than its postings.
+By similarity, `keep_first` links documents whose sets of shingles have a Jaccard similarity of `SIMILARITY` or more. The
+index's pairs (within `BITS`) and rows of one fingerprint come first. That similarity is about 10 of 64 bits, which
+positional bytes can't reach (5 of 8 equal bytes would ask for 3), so documents are posted besides under the `SKETCH`
+smallest hashes of their shingles: sets of similarity 0.8 share none of 6 with a chance of 0.2 ** 6, under one in ten
+thousand. Documents that share a posting, of sizes that allow the similarity and fingerprints within `RADIUS` bits, are
+candidates too. All candidates are verified on their whole sets. In a list of more than two each first meets the list's
+ends, and then only what these don't connect, so a group of alike documents costs no more than its postings. For the rest a
+bound goes before the sets: `ODD` bits hold the parity of how many of a set's hashes fall on each, and two sets differ in
+as many hashes at least as in bits. It drops no pair that is similar.
 
 Cases: null and empty texts, and texts without a word, have the fingerprint zero and are linked like any others. A null
 id has a fingerprint, no links of its own, and its fingerprint's component if another row has it, else null. Rows that
@@ -31,14 +34,14 @@ from pyspark.sql import functions as F
 
 from tideline.llm import _bytes as B
 from tideline.llm import line_dedup
-from tideline.llm._common import discard, pick, place, save
+from tideline.llm._common import discard, pick, place, release, save
 from tideline.llm.components import connected_components
 
 BITS = 3
 MATCHES = 5
 BLOCK = 1024
 SEED = 42
-SIMILARITY, SKETCH, RADIUS, FEW = 0.8, 6, 22, 32
+SIMILARITY, SKETCH, RADIUS, FEW, ODD = 0.8, 6, 22, 32, 1024
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,6 +213,19 @@ def _fits(x, m, n):
     return (F.least(m, n) >= F.greatest(m, n) * SIMILARITY - 1e-6) & ((F.bit_count(x) <= RADIUS) | (F.least(m, n) < FEW))
 
 
+def _odd(hashes: np.ndarray) -> np.ndarray:
+    """The parity of how many of the hashes fall on each of ODD bits, as longs."""
+    ones = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % ODD, minlength=ODD) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _may_be_alike(x: str, y: str, m: str, n: str):
+    """Whether sets of m and n hashes with these parities may be similar: they differ in m + n - 2 * common hashes, which is
+    at most (1 - SIMILARITY) / (1 + SIMILARITY) of m + n."""
+    bits = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, b: s + b)
+    return bits <= (F.col(m) + F.col(n)) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+
+
 def alike(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """id and component (the smallest id it reaches) of each row with an id, linked by the shingles' Jaccard similarity."""
     data = pick(docs, id=id_col, text=text_col).where("id is not null")
@@ -217,7 +233,7 @@ def alike(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
 
     def mark(batches):
         for batch in batches:
-            whole, fp, size, first = [], [], [], []
+            whole, fp, size, first, odd = [], [], [], [], []
             buf, offsets = B.texts(batch.column(1))
             for i, j in B.chunks(offsets, 1 << 21):
                 h, count = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
@@ -227,12 +243,14 @@ def alike(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
                     whole.append(xxhash.xxh3_128_digest(x.tobytes()))
                     size.append(len(x))
                     first.append(x[:SKETCH].view(np.int64))
+                    odd.append(_odd(x).tobytes())
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in first]))), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary()), pa.array(np.concatenate([np.zeros(0, np.uint64), *fp]).view(np.int64)), pa.array(size, pa.int64()), keys], ["id", "whole", "fp", "length", "sketch"])
+            parities = pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1) * (ODD // 64), pa.int32()), pa.array(np.frombuffer(b"".join(odd), np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary()), pa.array(np.concatenate([np.zeros(0, np.uint64), *fp]).view(np.int64)), pa.array(size, pa.int64()), keys, parities], ["id", "whole", "fp", "length", "sketch", "odd"])
 
-    marked = save(data.mapInArrow(mark, f"id {kind}, whole binary, fp long, length long, sketch array<long>"), "marked")
+    marked = save(data.mapInArrow(mark, f"id {kind}, whole binary, fp long, length long, sketch array<long>, odd array<long>"), "marked")
     # rows of one set are linked to its smallest id, and only that meets others
-    reps = save(marked.groupBy("whole").agg(F.min("id").alias("lid"), F.first("fp").alias("fp"), F.first("length").alias("length"), F.first("sketch").alias("sketch")), "sets")
+    reps = save(marked.groupBy("whole").agg(F.min("id").alias("lid"), F.first("fp").alias("fp"), F.first("length").alias("length"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd")), "sets")
     lists = save(line_dedup.key_lists(reps), "lists")
 
     def verify(batches):
@@ -243,24 +261,30 @@ def alike(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     def verified(pairs):
-        pairs = save(pairs, "pairs")
         some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         texts = save(data.join(some, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
         out = save(both.select("a", "b", "x", "y").mapInArrow(verify, f"a {kind}, b {kind}"), "verified")
-        discard(pairs)
         discard(texts)
         return out
 
-    linked = verified(line_dedup.hub_pairs(reps, lists, _fits))
-    joined = save(connected_components(linked), "joined")
-    more = verified(line_dedup.other_pairs(reps, lists, joined, _fits))
-    edges = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    different = save(reps.groupBy("fp").agg(F.min("lid").alias("rep")), "different")
+    near = links(different).unionByName(reps.join(different, "fp").where("lid != rep").select(F.col("rep").alias("a"), F.col("lid").alias("b")))
+    hubs = line_dedup.hub_pairs(reps, lists, _fits)
+    first = save(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(hubs).distinct(), "pairs")
+    linked = verified(first)
+    joined = connected_components(linked)
+    found = line_dedup.candidates(reps, lists, joined, _fits, "odd", _may_be_alike)
+    for df in (different, hubs, first, linked, lists):
+        discard(df)
+    joined = line_dedup.settled(found, joined, verified)
+    edges = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
     edges = edges.unionByName(marked.join(reps.select("whole", "lid"), "whole").where("id != lid").select(F.col("lid").alias("a"), F.col("id").alias("b")))
     found = connected_components(edges)
     out = marked.select("id").join(found, marked["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("component"))
-    for df in (reps, lists, linked, joined, more):
-        discard(df)
+    discard(reps)
+    discard(joined)
+    release(docs.sparkSession)
     return out
 
 
