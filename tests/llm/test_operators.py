@@ -626,6 +626,26 @@ def test_toxicity_does_not_depend_on_partitions(spark):
     assert all(abs(scores[0][k] - scores[1][k]) < 1e-9 for k in scores[0])
 
 
+def test_toxicity_counts_all_labelled_rows(spark, monkeypatch):
+    """What is learned from tables equals a plain count of ALL labelled rows, however many; no sample stands for them."""
+    monkeypatch.setattr(toxicity_kn, "PASSES", 3)
+    r = random.Random(41)
+    known = ["".join(r.choice("abcdefghijkl") for _ in range(r.randint(2, 8))) for _ in range(30)]
+    docs = [(i, " ".join(r.choice(known[:20] if i % 3 else known[10:]) for _ in range(r.randint(2, 12)))) for i in range(6000)] + [(1, "once more"), (9001, None)]
+    toxic = lambda i: int(i % 3 == 0)
+    labels = spark.createDataFrame([(i, toxic(i)) for i in range(6000)] + [(9001, 1)], "doc_id long, toxic int")
+    df = spark.createDataFrame(docs, DOCS).repartition(5)
+    model = toxicity_kn.learn(df, labels)
+    rows = [(t, toxic(i)) for i, t in docs if t is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    assert min(sum(y == v for _, y in rows) for v in (0, 1)) > 1000 and sum(y == 0 for _, y in rows) > 2000
+    counts = toxicity_kn.Counts([t for t, _ in rows], np.array([y for _, y in rows]))
+    want = toxicity_kn.Model(counts, _lookup([t for _, t in docs])(counts.spelled))
+    buf, offsets = toxicity_kn._batch([*[t for _, t in docs], "never seen words", known[0] + "zz"])
+    w = toxicity_kn.Words(buf, offsets)
+    assert len(model.pairs.keys) > 100 and np.array_equal(np.sort(model.pairs.keys), np.sort(want.pairs.keys))
+    assert np.abs(model.gains(w) - want.gains(w)).max() < 1e-6
+
+
 def test_language(spark):
     r = random.Random(11)
     tongues = {"aa": "bcdfgaeiou", "bb": "klmnpäöü", "cc": "qrstvéèê"}
