@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tests.llm import plain
 from tideline.llm import _bytes, _common, components, decontamination, language_id, line_dedup, packing, quality_mil, repetition_rules, simhash_neardup, suffix_dedup, toxicity_kn, url_filter
@@ -195,6 +196,25 @@ def test_lines_of_one_list_that_hubs_do_not_connect(spark, monkeypatch):
         assert sorted(map(tuple, both.collect())) == want
 
 
+def test_line_dedup_meets_each_pair_in_one_list(spark, monkeypatch):
+    # 12 lines of groups of their own under the same two keys, in blocks of 4
+    rows = [(lid, lid << 20, 50, [-9, -4]) for lid in range(12)]
+    prints = spark.createDataFrame(rows, "lid long, fp long, length int, sketch array<long>")
+    met = []
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    monkeypatch.setattr(DataFrame, "distinct", lambda df: met.append(df.count()) or df)
+    found = line_dedup.candidates(prints, line_dedup.key_lists(prints), spark.createDataFrame([], "node long, component long"))
+    assert met == [66] and found.count() == 66
+
+
+def test_line_dedup_counts_characters_beyond_the_basic_plane_once(spark):
+    # 20 % of the code points changed, but more of the UTF-16 units; and 24 % of them, but fewer of the units
+    x, y = "\U0001f600" * 8 + "a" * 32, "b" * 8 + "a" * 32
+    u, v = "\U0001f600" * 30 + "a" * 12 + "c" * 8, "\U0001f600" * 30 + "b" * 12 + "c" * 8
+    df = spark.createDataFrame([(x, y), (u, v)], "x string, y string")
+    assert [r["s"] for r in df.select(line_dedup.similar("x", "y").alias("s")).collect()] == [True, False]
+
+
 def test_line_dedup_keeps_no_tables_but_its_result(spark):
     """What the steps save goes again; only the groups stay, which the result reads."""
     import os

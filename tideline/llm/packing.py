@@ -41,6 +41,8 @@ PRE_TOKENIZER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
+#: Bytes of text that are tokenised at once.
+CHUNK = 1 << 22
 _SPACE, _LETTER, _DIGIT, _OTHER, _UNSAFE = range(5)
 _tables: dict = {}
 
@@ -65,7 +67,7 @@ def _char_tables():
 class Tokens:
     """Token ids of whole texts by a tokenizer file of lower-cased words; different words are tokenised once."""
 
-    LIMIT = 600_000
+    LIMIT = 1_200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -132,7 +134,8 @@ class Tokens:
         new = [k for k, p in enumerate(place) if p < 0]
         if new:
             names = [spelled[k].decode("utf-8", "replace") for k in new]
-            ids = np.array(self.tokenizer.encode(" ".join(names), add_special_tokens=False).ids, np.uint32)
+            # the form of encode() that works out no offsets
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(names)], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.closes[ids]) + 1
             if len(stops) != len(names):  # a piece without an end of its own: one by one
                 one = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in names]
@@ -246,7 +249,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         part, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             buf, offsets = B.texts(batch.column(1))
-            for i, j in B.chunks(offsets, 1 << 21):
+            for i, j in B.chunks(offsets, CHUNK):
                 ids, bounds = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 whole = np.insert(ids, bounds[1:], np.uint32(end_id)).astype("<u4")
                 first = bounds + np.arange(len(bounds))
