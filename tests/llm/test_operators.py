@@ -215,6 +215,22 @@ def test_line_dedup_counts_characters_beyond_the_basic_plane_once(spark):
     assert [r["s"] for r in df.select(line_dedup.similar("x", "y").alias("s")).collect()] == [True, False]
 
 
+def test_packing_works_out_no_offsets_of_plain_words():
+    import public_tokenizers
+
+    tokens = packing.Tokens(public_tokenizers.path("word_bpe_49k.json"))
+    whole = tokens.tokenizer
+
+    class Fast:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            return whole.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    tokens.tokenizer = Fast()  # has no encode()
+    texts = ["Some words, it's 42 of them", "", "qzxv été some words"]
+    ids, bounds = tokens(*_bytes.texts(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [whole.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_line_dedup_keeps_no_tables_but_its_result(spark):
     """What the steps save goes again; only the groups stay, which the result reads."""
     import os
