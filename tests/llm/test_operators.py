@@ -207,6 +207,31 @@ def test_line_dedup_meets_each_pair_in_one_list(spark, monkeypatch):
     assert met == [66] and found.count() == 66
 
 
+def test_line_dedup_bounds_pairs_by_their_characters(spark):
+    """Lines whose characters' counts forbid the similarity become no candidates; no similar pair is lost by that."""
+    r = random.Random(31)
+    words = [w for t in prose(32, 60, most=80) for w in t.lower().split()]
+    pairs = [("e" * 3_000 + "é", "e" * 2_900), ("日本語" * 9, "日本語" * 8 + "字字字"), ("a" * 10, "a" * 8 + "bb"), ("a" * 10, "a" * 7 + "bbb")]
+    for _ in range(300):
+        x = " ".join(r.choice(words) for _ in range(r.randint(3, 30)))
+        y = "".join(r.choice(["", r.choice("etaoin é1"), c + "s", "zq"]) if r.random() < r.choice([0.1, 0.2, 0.3]) else c for c in x)
+        pairs.append((x, y or "-"))
+    df = spark.createDataFrame(pairs, "x string, y string").select("x", "y", F.length("x").alias("m"), F.length("y").alias("n"), line_dedup.counts("x").alias("bx"), line_dedup.counts("y").alias("by"))
+    got = {(v["x"], v["y"]): v["may"] for v in df.select("x", "y", line_dedup._may_be_alike("bx", "by", "m", "n").alias("may")).collect()}
+    for (x, y), may in got.items():
+        assert may or plain.levenshtein(x, y) > int(round(max(len(x), len(y)) * 0.2, 6)), (x, y)
+    assert got[pairs[2]] and not got[pairs[3]] and sum(not v for v in got.values()) > 20
+
+    # three lines of one list, none near the first: of the other two pairs the counts allow one
+    rows = [(0, "x" * 50, (1 << 30) - 1), (1, "a" * 50, 0), (2, "a" * 45 + "b" * 5, 1), (3, "c" * 50, 3)]
+    lines = spark.createDataFrame([x[:2] for x in rows], "lid long, norm string")
+    prints = spark.createDataFrame([(lid, fp, 50, [-7]) for lid, _, fp in rows], "lid long, fp long, length int, sketch array<long>")
+    none = spark.createDataFrame([], "node long, component long")
+    lists = line_dedup.key_lists(prints)
+    assert [(x["a"], x["b"]) for x in line_dedup.candidates(prints, lists, none, lines=lines).collect()] == [(1, 2)]
+    assert line_dedup.candidates(prints, lists, none).count() == 3
+
+
 def test_line_dedup_counts_characters_beyond_the_basic_plane_once(spark):
     # 20 % of the code points changed, but more of the UTF-16 units; and 24 % of them, but fewer of the units
     x, y = "\U0001f600" * 8 + "a" * 32, "b" * 8 + "a" * 32
